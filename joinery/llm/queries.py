@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_files, warc
+from . import langid, minhash, packing, quality, token_counts, token_files, warc
 from .common import Workspace
 
 END_OF_TEXT = 50256
@@ -35,12 +35,24 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_warc(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer(), 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_token_counts, op5_warc, op10_token_files)
+    f.__name__: f for f in (op2_packing, op4_token_counts, op5_warc, op6_near_duplicates, op7_quality, op8_language, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
