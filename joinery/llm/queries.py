@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, minhash, packing, quality, token_counts, token_files, warc
+from . import ann, langid, media, minhash, packing, quality, token_counts, token_files, warc
 from .common import Workspace
 
 END_OF_TEXT = 50256
@@ -22,6 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 1024, 0, with_ids=False)
 
@@ -47,15 +52,30 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media(table(spark, sf_dir, "documents"), with_payload=False)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), tokenizer(), 0)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_packing, op4_token_counts, op5_warc, op6_near_duplicates, op7_quality, op8_language, op10_token_files)
+    f.__name__: f for f in (op1_nearest_vectors, op2_packing, op4_token_counts, op5_warc, op6_near_duplicates, op7_quality, op8_language, op9_media, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_nearest_vectors": """
+        with v as (
+            select vec_id, cast(embedding as double[]) as e from embeddings
+            where embedding is not null and vec_id is not null
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+              and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        d as (
+            select q.vec_id as query_id, c.vec_id, sqrt(list_reduce(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])), lambda a, b: a + b)) as score
+            from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0),
+        r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d)
+        select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 10""",
     "op5_warc": """
         with p as (
             select page_id, coalesce(html, '') as html, octet_length(encode(coalesce(html, ''))) as n,
