@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, media, minhash, packing, quality, token_counts, token_files, warc
+from . import ann, langid, lexicon, media, minhash, packing, quality, token_counts, token_files, warc
 from .common import Workspace
 
 END_OF_TEXT = 50256
@@ -31,6 +31,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), 1024, 0, with_ids=False)
 
 
+def op3_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon.encode(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.document_token_counts(table(spark, sf_dir, "documents"), tokenizer(), END_OF_TEXT)
 
@@ -61,7 +65,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_vectors, op2_packing, op4_token_counts, op5_warc, op6_near_duplicates, op7_quality, op8_language, op9_media, op10_token_files)
+    f.__name__: f for f in (op1_nearest_vectors, op2_packing, op3_bpe_lexicon, op4_token_counts, op5_warc, op6_near_duplicates, op7_quality, op8_language, op9_media, op10_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
