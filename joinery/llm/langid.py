@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes
-from .quality import held_out
+from .quality import held_out, scored, with_row
 
 BINS = 4096
 #: Rows that the classifiers are fitted on, about; twice as many at most.
@@ -120,12 +120,8 @@ def learned(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarr
     return languages, words, fit(x, words[y].astype(np.float32), 1 / per[y])
 
 
-OUT = "doc_id long, held_out boolean, lang_pred string, score double, runner_up string, ambiguous boolean"
-OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("runner_up", pa.string()), ("ambiguous", pa.bool_())])
-
-
-def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score, runner_up, ambiguous`` of every row of ``docs`` (doc_id, text, lang)."""
+def identify(docs: DataFrame, most: int = SAMPLE, whole: bool = False) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score, runner_up, ambiguous`` of every row of ``docs`` (doc_id, text, lang); with ``whole``, the row itself goes along as the struct ``row``."""
     model = docs.sparkSession.sparkContext.broadcast(learned(docs, most))  # (BINS + 1) x bits numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +138,8 @@ def identify(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
                 named = [languages[b] if x else "und" for b, x in zip(best, letters)]
                 other = [languages[b] if x and len(languages) > 1 else None for b, x in zip(second, letters)]
                 score = np.where(letters, score, 0.0)
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), pa.array(named, pa.string()), pa.array(score, pa.float64()), pa.array(other, pa.string()), pa.array(score <= CLEAR)], schema=OUT_ARROW)
+                yield scored(some, {"lang_pred": pa.array(named, pa.string()), "score": pa.array(score, pa.float64()), "runner_up": pa.array(other, pa.string()), "ambiguous": pa.array(score <= CLEAR)})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, OUT)
+    rows = with_row(docs, whole)
+    added = {"lang_pred": F.lit(""), "score": F.lit(0.0), "runner_up": F.lit(""), "ambiguous": F.lit(True)}
+    return rows.mapInArrow(run, rows.drop("text").withColumns(added).schema)

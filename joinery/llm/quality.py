@@ -114,8 +114,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[int, b
     return [(r.label, bytes(r.bins)) for r in sorted(rows, key=lambda r: (r.doc_id, r.label, bytes(r.bins)))]
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every row of ``docs`` (doc_id, text)."""
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE, whole: bool = False) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` of every row of ``docs`` (doc_id, text); with ``whole``, the row itself goes along as the struct ``row``."""
     spark = docs.sparkSession
     weights = fit(labelled(docs, labels, most)).astype(np.float32)
     shared = spark.sparkContext.broadcast(weights)  # BINS + 1 numbers
@@ -129,7 +129,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
                 ends = np.cumsum(n)
                 margin = SCALE * (total[ends] - total[ends - n]) / np.maximum(n, 1) + w[-1]
                 score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+                yield scored(some, {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return with_row(docs, whole).mapInArrow(run, with_row(docs, whole).drop("text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+
+
+def with_row(docs: DataFrame, whole: bool) -> DataFrame:
+    """``doc_id, held_out, text`` and, if ``whole``, all columns as the struct ``row``, so that none can clash with what is added."""
+    row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] * whole
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *row)
+
+
+def scored(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch without its text and with more columns."""
+    kept = {n: batch.column(n) for n in batch.schema.names if n != "text"} | more
+    return pa.RecordBatch.from_arrays(list(kept.values()), names=list(kept))
