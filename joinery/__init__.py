@@ -1,0 +1 @@
+"""Partitioned equi-join analytics on Spark DataFrames."""
