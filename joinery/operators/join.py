@@ -10,7 +10,7 @@ All give the same rows. Null keys match nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JoinConfig
@@ -35,17 +35,16 @@ def equi_join(inner: DataFrame, outer: DataFrame, mode: str = "plain", config: J
     if mode in ("broadcast", "merge", "shuffle_hash"):
         return outer.join(inner.hint(mode), "key")
     if mode == "salted":
-        s = outer.withColumn("s_rid", F.struct(*(c for c in outer.columns if c != "key")))
-        return salted_join(inner, s, config.slices).drop("s_rid")
+        return salted_join(inner, outer, config.slices)
     levels = {"radix": 1, "two_level": 2}[mode]
     places = ["task", "pid", "lpid"][: levels + 1]
     r, s = (radix_exchange(x, config, levels) for x in (inner, outer))
     return s.join(r.hint("shuffle_hash"), [*places, "key"]).drop(*places)
 
 
-def matches_of(inner: DataFrame, outer: DataFrame, key: Column = F.col("key")) -> DataFrame:
+def matches_of(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """``key, matches`` of the keys on both sides. Each side is counted by key first, so a key moves once however often it repeats and no pair is made."""
-    r, s = (x.filter(key.isNotNull()).groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias(n)) for x, n in ((inner, "r"), (outer, "s")))
+    r, s = (x.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias(n)) for x, n in ((inner, "r"), (outer, "s")))
     return r.join(s, "key").select("key", (F.col("r") * F.col("s")).alias("matches"))
 
 

@@ -31,8 +31,8 @@ def block_mapping(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFram
 
 
 def salted_join(inner: DataFrame, outer: DataFrame, slices: int) -> DataFrame:
-    """``inner`` (key, r_rid) and ``outer`` (key, s_rid) joined with each key's outer rows dealt over ``slices`` tasks and its inner rows copied to them."""
-    dealt = outer.withColumn("slice", F.pmod(F.xxhash64("s_rid"), F.lit(slices)).cast("int"))
+    """Two relations joined on ``key``, each key's outer rows dealt over ``slices`` by the hash of all their columns and its inner rows copied to every slice."""
+    dealt = outer.withColumn("slice", F.pmod(F.xxhash64(*outer.columns), F.lit(slices)).cast("int"))
     copies = inner.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
     return dealt.join(copies.hint("shuffle_hash"), ["key", "slice"]).drop("slice")
 
