@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes
-from .quality import held_out, scored, with_row
+from .quality import held_out, scored, scored_schema, with_row
 
 BINS = 4096
 #: Rows that the classifiers are fitted on, about; twice as many at most.
@@ -141,5 +141,4 @@ def identify(docs: DataFrame, most: int = SAMPLE, whole: bool = False) -> DataFr
                 yield scored(some, {"lang_pred": pa.array(named, pa.string()), "score": pa.array(score, pa.float64()), "runner_up": pa.array(other, pa.string()), "ambiguous": pa.array(score <= CLEAR)})
 
     rows = with_row(docs, whole)
-    added = {"lang_pred": F.lit(""), "score": F.lit(0.0), "runner_up": F.lit(""), "ambiguous": F.lit(True)}
-    return rows.mapInArrow(run, rows.drop("text").withColumns(added).schema)
+    return rows.mapInArrow(run, scored_schema(rows, "lang_pred string, score double, runner_up string, ambiguous boolean"))

@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import by_bytes, texts
 
@@ -131,7 +132,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
                 score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
                 yield scored(some, {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
-    return with_row(docs, whole).mapInArrow(run, with_row(docs, whole).drop("text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema)
+    rows = with_row(docs, whole)
+    return rows.mapInArrow(run, scored_schema(rows, "score double, predicted int"))
 
 
 def with_row(docs: DataFrame, whole: bool) -> DataFrame:
@@ -140,6 +142,11 @@ def with_row(docs: DataFrame, whole: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), "text", *row)
 
 
+def scored_schema(rows: DataFrame, more: str) -> T.StructType:
+    """The schema of ``rows`` without the text and with more columns, which can be null."""
+    return T.StructType([f for f in rows.schema if f.name != "text"] + T.StructType.fromDDL(more).fields)
+
+
 def scored(batch: pa.RecordBatch, more: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch without its text and with more columns."""
     kept = {n: batch.column(n) for n in batch.schema.names if n != "text"} | more

@@ -90,4 +90,20 @@ ORACLE_SQL: dict[str, str] = {
                case when g.response is not null and g.response is distinct from p.page_id then 'revisit' else 'response' end as record_type,
                case when g.response is distinct from p.page_id then g.response end as refers_to
         from p left join g on p.digest = g.digest""",
+    "op6_near_duplicates": r"""
+        with recursive w as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as ws
+            from documents),
+        s as (
+            select doc_id, unnest(list_distinct(case
+                when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))
+                when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end)) as shingle
+            from w),
+        n as (select doc_id, count(*) as n from s group by doc_id),
+        p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+        l as (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * c >= 75 * (x.n + y.n - c)),
+        e as (select a, b from l union all select b, a from l),
+        reach as (select doc_id, doc_id as other from documents union select reach.doc_id, e.b from reach join e on reach.other = e.a),
+        c as (select doc_id, min(other) as component_id from reach group by doc_id)
+        select c.doc_id, coalesce(n.n, 0) as n_shingles, component_id, c.doc_id = component_id as kept from c left join n on n.doc_id = c.doc_id""",
 }
