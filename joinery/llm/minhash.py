@@ -8,13 +8,16 @@ minima, and a document stops as soon as every place holds less than the next
 rank. Signatures are cut into bands; documents that agree on a band meet.
 
 Equal sets count once (their smallest id stands for them). In each bucket all
-others are compared with the smallest; when the links found leave a bucket with
-more than one component, its other members of different components are compared
-too, in blocks that hold signatures only. So no bucket is capped and none is
-expanded into pairs, yet each pair of a bucket is linked, refuted, or already in
-one component. Pairs whose signatures agree far too little are dropped; the
-others are confirmed on the full sets of 64-bit shingle hashes, streamed past
-the set of their bucket's smallest.
+others are compared with a centre, which a hash picks anew for every bucket, so
+a member of many buckets meets many centres. Where the links found leave a
+bucket with more than one component, the members outside the centre's component
+go past all others in blocks that hold their shingle hashes, which are compared
+by an inverted index; of what agrees, the best pair with each component leaves
+the block. So no bucket is capped and none is expanded into pairs, yet each pair
+of a bucket is linked, refuted, or already in one component. Pairs whose
+signatures agree far too little are dropped; links are confirmed on the full
+sets of 64-bit shingle hashes, streamed past the set of the one they are
+compared with.
 
 With 40 bands of 5 rows a pair at the threshold of 0.75 meets with a chance of
 at least 1 - (1 - 0.75^5)^40 = 0.99998.
@@ -36,12 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, by_bytes, texts
+from .common import Workspace, by_bytes, ragged, texts
 from .components import components
 
 WORDS, PLACES, ROWS = 5, 200, 5
 #: Share of equal signature places under which a pair is dropped: five standard deviations under the threshold.
 LEAST_AGREEMENT = 0.75 - 5 * (0.75 * 0.25 / PLACES) ** 0.5
+#: Shingles up to which a document's hashes are compared in a block; longer ones are compared there by signature.
+WHOLE = 2048
 #: Members of a block of one bucket, and documents compared with one that stand together.
 BLOCK = 1024
 RANK = 56
@@ -161,32 +166,71 @@ def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pairs_of(batch.column("a").to_numpy()[keep], batch.column("b").to_numpy()[keep])
 
 
-def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block's residents with its visitors: of different components, of fitting sizes, agreeing. Residents come first."""
-    block, resident = None, []
-
-    def matched(some: list[dict]) -> Iterator[pa.RecordBatch]:
-        if not some or not resident:
-            return
-        doc, n, group = (np.array([r[c] for r in resident]) for c in ("doc", "n", "component"))
-        sig = np.frombuffer(b"".join(r["agree"] for r in resident), np.uint8).reshape(-1, PLACES)
-        a, b = [], []
-        for v in some:
-            fits = (group != v["component"]) & (4 * np.minimum(n, v["n"]) >= 3 * np.maximum(n, v["n"]))
-            fits = np.flatnonzero(fits)
-            fits = fits[(sig[fits] == np.frombuffer(v["agree"], np.uint8)).mean(axis=1) >= LEAST_AGREEMENT]
-            a.append(np.minimum(doc[fits], v["doc"]))
-            b.append(np.maximum(doc[fits], v["doc"]))
-        yield pairs_of(np.concatenate(a), np.concatenate(b))
+OPEN_SET = pa.schema([("doc", pa.int64()), ("hashes", pa.binary())])
+
+
+def short_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted lower halves of the shingle hashes of each document; null for long documents."""
+    for batch in batches:
+        for some in by_bytes(batch):
+            sets = [np.sort(s.astype(np.uint32)).tobytes() if len(s) <= WHOLE else None for s in shingle_sets(texts(some))]
+            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sets, pa.binary())], schema=OPEN_SET)
+
+
+class Block:
+    """Residents of a block of one bucket, with an inverted index of their hashes."""
+
+    def __init__(self, rows: list[dict]):
+        self.doc, self.n, self.component = (np.array([r[c] for r in rows]) for c in ("doc", "n", "component"))
+        self.agree = np.frombuffer(b"".join(r["agree"] for r in rows), np.uint8).reshape(-1, PLACES)
+        self.whole = np.array([r["hashes"] is not None for r in rows])
+        sets = [np.frombuffer(r["hashes"] or b"", np.uint32) for r in rows]
+        every = np.concatenate(sets)
+        order = np.argsort(every, kind="stable")
+        self.owner = np.repeat(np.arange(len(rows)), [len(s) for s in sets])[order]
+        self.hash, self.first = np.unique(every[order], return_index=True)
+        self.last = np.append(self.first[1:], len(every))
+
+    def matches(self, v: dict) -> np.ndarray:
+        """Residents to verify with a visitor: of its links by hashes the best in each component, and those long ones that agree."""
+        fits = (self.component != v["component"]) & (4 * np.minimum(self.n, v["n"]) >= 3 * np.maximum(self.n, v["n"]))
+        if not fits.any():
+            return np.zeros(0, np.int64)
+        by_hash = fits & self.whole if v["hashes"] is not None else np.zeros(len(fits), bool)
+        long = np.flatnonzero(fits & ~by_hash)
+        long = long[(self.agree[long] == np.frombuffer(v["agree"], np.uint8)).mean(axis=1) >= LEAST_AGREEMENT]
+        if not by_hash.any():
+            return long
+        own = np.frombuffer(v["hashes"], np.uint32)
+        at = np.minimum(np.searchsorted(self.hash, own), len(self.hash) - 1)
+        at = at[self.hash[at] == own]
+        both = np.bincount(self.owner[ragged(self.first[at], self.last[at] - self.first[at])], minlength=len(fits))
+        # one shingle fewer is let pass, for two hashes of a set may have one lower half
+        best = np.flatnonzero(by_hash & (100 * (both + 1) >= 75 * (self.n + v["n"] - both - 1)))
+        best = best[np.lexsort((self.doc[best], -both[best] / (self.n[best] + v["n"] - both[best])))]
+        return np.concatenate([best[np.unique(self.component[best], return_index=True)[1]], long])
+
 
+def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs to verify of each block's residents with its visitors. Residents come first."""
+    block, resident, index = None, [], None
     for batch in batches:
-        visitors: list[dict] = []
-        for row in batch.to_pylist():
-            if (row["key"], row["block"]) != block:
-                yield from matched(visitors)
-                block, resident, visitors = (row["key"], row["block"]), [], []
-            (visitors if row["visits"] else resident).append(row)
-        yield from matched(visitors)
+        for some in by_bytes(batch, "hashes"):
+            a, b = [], []
+            for row in some.to_pylist():
+                if (row["key"], row["block"]) != block:
+                    block, resident, index = (row["key"], row["block"]), [], None
+                if not row["visits"]:
+                    resident.append(row)
+                    continue
+                if index is None and resident:
+                    index = Block(resident)
+                if index:
+                    found = index.doc[index.matches(row)]
+                    a.append(np.minimum(found, row["doc"]))
+                    b.append(np.maximum(found, row["doc"]))
+            if a:
+                yield pairs_of(np.concatenate(a), np.concatenate(b))
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +258,30 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     dealt = pairs.join(many, "a").select(F.col("a").alias("owner"), F.expr("pmod(xxhash64(b), salts)").alias("salt"), F.col("b").alias("doc"))
     own = dealt.select("owner", "salt", F.col("owner").alias("doc")).distinct()
     wanted = dealt.withColumn("kind", F.lit(1)).unionByName(own.withColumn("kind", F.lit(0)))
-    with_text = wanted.join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("owner", "salt", "kind", "doc", "text")
+    with_text = wanted.hint("merge").join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("owner", "salt", "kind", "doc", "text")
     return with_text.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "kind").mapInArrow(confirmed, "a long, b long")
 
 
+def apart(work: Workspace, members: DataFrame, group: DataFrame, signature: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) to verify among members of one bucket, its centre left out, that are in different components (see ``Block``)."""
+    known = members.filter("members > 2 and doc <> center").hint("merge").join(group.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+    rows = work.save(
+        known.hint("merge")
+        .join(mixed, "key")
+        .join(group.toDF("center", "leading"), "center", "left")
+        .select("key", "doc", "n", "component", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("blocks"), (F.coalesce("leading", "center") == F.col("component")).alias("leads")),
+        "open",
+    )
+    wanted = rows.select(F.col("doc").alias("doc_id")).distinct()
+    hashes = work.save(docs.hint("merge").join(wanted, "doc_id").mapInArrow(short_hashes, "doc long, hashes binary"), "open-sets")
+    full = rows.hint("merge").join(signature, "doc").hint("merge").join(hashes, "doc")
+    own = ["doc", "n", "component", "agree", "hashes"]
+    resident = full.select("key", F.expr("pmod(xxhash64(doc), blocks)").alias("block"), F.lit(False).alias("visits"), *own)
+    visitor = full.filter("not leads").select("key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(True).alias("visits"), *own)
+    return resident.unionByName(visitor).repartition("key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(blockwise, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` (smallest linked id) and ``kept`` (it is the document's own) of ``docs`` (doc_id, text)."""
     work = Workspace(docs.sparkSession, "minhash")
@@ -229,30 +293,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signature = reps.select("doc", "agree")
 
     rows = reps.select("doc", "n", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min(F.struct("doc", "n")).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = work.save(rows.join(buckets, "key").select("key", "doc", "n", F.col("c.doc").alias("center"), F.col("c.n").alias("center_n"), "members"), "members")
+    picked = F.struct(F.xxhash64("key", "doc").alias("h"), "doc", "n")
+    buckets = rows.groupBy("key").agg(F.min(picked).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    members = work.save(rows.hint("merge").join(buckets, "key").select("key", "doc", "n", F.col("c.doc").alias("center"), F.col("c.n").alias("center_n"), "members"), "members")
     fits = "doc <> center and 4 * least(n, center_n) >= 3 * greatest(n, center_n)"
-    pairs = members.filter(fits).select(F.col("center").alias("a"), F.col("doc").alias("b")).distinct()
-    both = pairs.join(signature.toDF("a", "x"), "a").join(signature.toDF("b", "y"), "b")
+    pairs = members.filter(fits).select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
+    both = pairs.hint("merge").join(signature.toDF("a", "x"), "a").hint("merge").join(signature.toDF("b", "y"), "b")
     candidates = work.save(both.mapInArrow(agreeing, "a long, b long"), "candidates")
     links = work.save(verified(candidates, docs), "links")
-    first = work.save(components(links, work, "first"), "first")
-
-    known = members.filter("members > 2 and doc <> center").join(first.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    leading = first.toDF("center", "leading")
-    open_rows = (
-        known.join(mixed.select("key"), "key")
-        .join(leading, "center", "left")
-        .join(signature, "doc")
-        .select("key", "doc", "n", "component", "agree", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("blocks"), (F.coalesce("leading", "center") == F.col("component")).alias("leads"))
-    )
-    resident = open_rows.select("key", F.expr("pmod(xxhash64(doc), blocks)").alias("block"), F.lit(False).alias("visits"), "doc", "n", "component", "agree")
-    visitor = open_rows.filter("not leads").select("key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(True).alias("visits"), "doc", "n", "component", "agree")
-    blocks = resident.unionByName(visitor).repartition("key", "block").sortWithinPartitions("key", "block", "visits")
-    rest = work.save(blocks.mapInArrow(blockwise, "a long, b long").distinct(), "rest")
-    more = work.save(verified(rest, docs), "more-links")
-    group = components(links.unionByName(more), work, "all")
+    group = work.save(components(links, work, "first"), "first")
+    found = work.save(apart(work, members, group, signature, docs), "apart")
+    links = links.unionByName(work.save(verified(found, docs), "more-links"))
+    group = work.save(components(links, work, "all"), "groups")
 
     by_set = reps.select("digest", "doc").join(group.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
