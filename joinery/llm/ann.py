@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 #: Rows that the centres are fitted on, at most; number of centres; rows of a block, about.
 SAMPLE, CENTRES, BLOCK = 16384, 16, 32768
 #: Bits of a quantised query component; width of the error bound in standard deviations.
-PLANES, BOUND = 8, 4.0
+PLANES, BOUND = 8, 2.5
 
 
 def valid(column: str = "embedding") -> Column:
@@ -116,14 +116,17 @@ class Index:
     def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest ids but the query's own, with exact distances, ties to smaller ids."""
         low, high = self.bounds(q)
-        other = self.ids != qid
-        low, high, place = low[other], high[other], np.flatnonzero(other)
+        place = np.flatnonzero(self.ids != qid)
         if not len(place):
             return place, np.zeros(0)
-        limit = np.partition(high, min(k, len(high)) - 1)[min(k, len(high)) - 1]
-        place = place[low <= limit * (1 + 1e-9) + 1e-9]
-        exact = distances(self.vectors[place], q)
-        best = np.lexsort((self.ids[place], exact))[:k]
+        low, guess = low[place], low[place] + high[place]
+        first = np.argpartition(guess, min(4 * k, len(place)) - 1)[: 4 * k]
+        exact = np.full(len(place), np.inf)
+        exact[first] = distances(self.vectors[place[first]], q)
+        limit = np.partition(exact, min(k, len(place)) - 1)[min(k, len(place)) - 1]
+        rest = np.flatnonzero((low <= limit**2 * (1 + 1e-9)) & np.isinf(exact))
+        exact[rest] = distances(self.vectors[place[rest]], q)
+        best = np.lexsort((self.ids[place], exact))[: min(k, len(place))]
         return self.ids[place[best]], exact[best]
 
 

@@ -61,4 +61,4 @@ def test_bounds_hold():
         low, high = index.bounds(q)
         true = ann.distances(index.vectors, q) ** 2
         held.append((low <= true + 1e-9) & (true <= high + 1e-9))  # a vector at a centre is exact but for rounding
-    assert np.mean(held) > 0.9997  # four standard deviations leave out 6e-5
+    assert np.mean(held) > 0.98  # two and a half standard deviations leave out 0.012
