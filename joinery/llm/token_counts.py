@@ -105,4 +105,4 @@ def document_token_counts(docs: DataFrame, tokenizer: str, separator: int) -> Da
     counts = count_tokens(wrote.filter("ordinal is null").select("file", "size", "width"), separator)
     named = wrote.filter("ordinal is not null").select("file", "ordinal", "doc_id")
     number = F.regexp_extract("file", r"/(\d+)-[^/]*$", 1).cast("int").alias("file_no")
-    return counts.join(named, ["file", "ordinal"]).select("doc_id", "n_tokens", number, "ordinal", "start")
+    return counts.hint("merge").join(named, ["file", "ordinal"]).select("doc_id", "n_tokens", number, "ordinal", "start")
