@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +36,9 @@ from .common import Workspace, by_bytes, open_fs, texts
 
 UNIT, TAIL = 576, 32
 #: Least size of a chunk, bits that must be clear at a cut (mean size: least + 2^bits), most size.
-LEAST, BITS, MOST = 512, 11, 16384
+LEAST, BITS, MOST = 2048, 13, 65536
 WINDOW = 32
-LEVEL = 3
+LEVEL = 15
 
 
 def gear() -> np.ndarray:
@@ -86,22 +85,26 @@ def recipe(size: int, digests: list[bytes], lengths: list[int]) -> bytes:
     return b"CDC1" + struct.pack("<QI", size, len(digests)) + b"".join(d + struct.pack("<I", n) for d, n in zip(digests, lengths))
 
 
-RECIPES = "part long, row long, doc_id long, n_bytes long, sha binary, digests array<binary>, lengths array<int>, pack string, added array<struct<digest: binary, at: long, size: int>>"
-ADDED = pa.struct([("digest", pa.binary()), ("at", pa.int64()), ("size", pa.int32())])
-RECIPES_ARROW = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("pack", pa.string()), ("added", pa.list_(ADDED))])
+RECIPES = "pack long, row long, doc_id long, n_bytes long, sha binary, digests array<binary>, lengths array<int>, added array<struct<k: int, at: long, size: int>>"
+ADDED = pa.struct([("k", pa.int32()), ("at", pa.int64()), ("size", pa.int32())])
+RECIPES_ARROW = pa.schema([("pack", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("digests", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32())), ("added", pa.list_(ADDED))])
+
+
+def new_pack() -> int:
+    """A number for a pack of one attempt of one task; its file's name."""
+    return uuid.uuid4().int >> 65
 
 
 def store(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Recipes of all payloads, and the chunks: ``digest, pack, at, size``, each digest once."""
+    """Recipes of all payloads, and the chunks: ``digest, pack, at, size``, each digest once. Packs are files of the folder ``packs``."""
     raw, packs = work.folder("raw-packs"), work.folder("packs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        name = f"{raw}/{part:06d}-{uuid.uuid4().hex}"
+        pack = new_pack()
         press = zstandard.ZstdCompressor(level=LEVEL)
         seen: set[bytes] = set()
         at = row = 0
-        fs, p = open_fs(name)
+        fs, p = open_fs(f"{raw}/{pack}")
         with fs.open_output_stream(p, compression=None) as out:
             for batch in batches:
                 for some in by_bytes(batch):
@@ -110,20 +113,20 @@ def store(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
                         pieces = [data[a:b] for a, b in zip([0, *ends], ends)]
                         digests = [hashlib.blake2b(x, digest_size=20).digest() for x in pieces]
                         added = []
-                        for d, x in zip(digests, pieces):
+                        for k, (d, x) in enumerate(zip(digests, pieces)):
                             if d not in seen:
                                 seen.add(d)
                                 frame = press.compress(x)
                                 out.write(frame)
-                                added.append({"digest": d, "at": at, "size": len(frame)})
+                                added.append({"k": k, "at": at, "size": len(frame)})
                                 at += len(frame)
-                        rows.append({"part": part, "row": row, "doc_id": key, "n_bytes": n, "sha": hashlib.sha256(data).digest(), "digests": digests, "lengths": list(map(len, pieces)), "pack": name, "added": added})
+                        rows.append({"pack": pack, "row": row, "doc_id": key, "n_bytes": n, "sha": hashlib.sha256(data).digest(), "digests": digests, "lengths": list(map(len, pieces)), "added": added})
                         row += 1
                     yield pa.RecordBatch.from_pylist(rows, RECIPES_ARROW)
 
     recipes = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RECIPES), "recipes")
-    held = recipes.select("part", "pack", F.explode("added").alias("c")).select("part", "pack", "c.*")
-    one = held.groupBy("digest").agg(F.min(F.struct("part", "pack", "at", "size")).alias("c")).select("digest", "c.*")
+    held = recipes.select("pack", "digests", F.explode("added").alias("c")).select(F.col("digests")[F.col("c.k")].alias("digest"), "pack", "c.at", "c.size")
+    one = held.groupBy("digest").agg(F.min(F.struct("pack", "at", "size")).alias("c")).select("digest", "c.*")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = target = opened = None
@@ -135,8 +138,10 @@ def store(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
                     if r["pack"] != source:
                         for f in opened or ():
                             f.close()
-                        source, target, at = r["pack"], f"{packs}/{r['part']:06d}-{uuid.uuid4().hex}", 0
-                        opened = [open_fs(source)[0].open_input_file(open_fs(source)[1]), open_fs(target)[0].open_output_stream(open_fs(target)[1], compression=None)]
+                        source, target, at = r["pack"], new_pack(), 0
+                        fs, p = open_fs(raw)
+                        to, q = open_fs(packs)
+                        opened = [fs.open_input_file(f"{p}/{source}"), to.open_output_stream(f"{q}/{target}", compression=None)]
                     opened[0].seek(r["at"])
                     opened[1].write(opened[0].read(r["size"]))
                     rows.append({"digest": r["digest"], "pack": target, "at": at, "size": r["size"]})
@@ -148,11 +153,11 @@ def store(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
 
     chunks = work.save(one.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(rewrite, CHUNKS), "chunks")
     work.drop("raw-packs")
-    return recipes.drop("pack", "added"), chunks
+    return recipes.drop("added"), chunks
 
 
-CHUNKS = "digest binary, pack string, at long, size int"
-CHUNKS_ARROW = pa.schema([("digest", pa.binary()), ("pack", pa.string()), ("at", pa.int64()), ("size", pa.int32())])
+CHUNKS = "digest binary, pack long, at long, size int"
+CHUNKS_ARROW = pa.schema([("digest", pa.binary()), ("pack", pa.int64()), ("at", pa.int64()), ("size", pa.int32())])
 MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, payload binary"
 MEDIA_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("payload", pa.binary())])
 
@@ -164,11 +169,11 @@ def feature(data: bytes, chunks: int) -> str:
     return f"{chunks}:{1000 * total // len(data)}:" + ",".join(map(str, ranges.tolist()))
 
 
-def load(recipes: DataFrame, chunks: DataFrame, with_payload: bool = True) -> DataFrame:
-    """Payloads from their recipes, verified, with their features."""
-    used = recipes.select("part", F.explode("digests").alias("digest")).distinct()
-    places = used.join(chunks, "digest").select("part", F.lit(-1).cast("long").alias("row"), "digest", "pack", "at", "size")
-    rows = recipes.select("part", "row", "doc_id", "n_bytes", "sha", "digests", "lengths")
+def load(recipes: DataFrame, chunks: DataFrame, packs: str, with_payload: bool = True) -> DataFrame:
+    """Payloads from their recipes and the packs of a folder, verified, with their features. Rows of one raw pack are read together, as most of their chunks lie together."""
+    used = recipes.select(F.col("pack").alias("part"), F.explode("digests").alias("digest")).distinct()
+    places = used.hint("merge").join(chunks, "digest").select("part", F.lit(-1).cast("long").alias("row"), "digest", "pack", "at", "size")
+    rows = recipes.select(F.col("pack").alias("part"), "row", "doc_id", "n_bytes", "sha", "digests", "lengths")
     together = places.unionByName(rows, allowMissingColumns=True).repartition("part").sortWithinPartitions("part", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +185,7 @@ def load(recipes: DataFrame, chunks: DataFrame, with_payload: bool = True) -> Da
             if pack not in files:
                 if len(files) >= 64:
                     files.pop(next(iter(files))).close()
-                fs, p = open_fs(pack)
+                fs, p = open_fs(f"{packs}/{pack}")
                 files[pack] = fs.open_input_file(p)
             files[pack].seek(at)
             return files[pack].read(size)
@@ -216,4 +221,5 @@ def load(recipes: DataFrame, chunks: DataFrame, with_payload: bool = True) -> Da
 
 def media(docs: DataFrame, with_payload: bool = True) -> DataFrame:
     """Store the payloads of ``docs`` (doc_id, text) and read them back."""
-    return load(*store(docs, Workspace(docs.sparkSession, "media")), with_payload)
+    work = Workspace(docs.sparkSession, "media")
+    return load(*store(docs, work), f"{work.path}/packs", with_payload)
