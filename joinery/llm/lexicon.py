@@ -47,7 +47,8 @@ class Merges:
         letters = byte_letters()
         self.first = [vocab[c] for c in letters]
         pairs = [p if isinstance(p, list) else p.split(" ") for p in model["merges"]]
-        self.rank = {(vocab[a], vocab[b]): (r, vocab[a + b]) for r, (a, b) in enumerate(pairs)}
+        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
+        self.made = [vocab[a + b] for a, b in pairs]
         back = {c: b for b, c in enumerate(letters)}
         self.special = SpecialSplit(path)
         self.bytes = [b""] * self.special.size
@@ -61,33 +62,34 @@ class Merges:
         ids = [self.first[b] for b in word]
         if len(ids) > 256:
             return self.long(ids)
-        rank = self.rank
-        while len(ids) > 1:
-            best = min(((rank[p], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank), default=None)
-            if best is None:
-                break
-            (_, new), at = best
-            ids[at : at + 2] = [new]
+        rank, never = self.rank.get, len(self.made)
+        ranks = [rank(p, never) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < never:
+            at = ranks.index(best)
+            ids[at : at + 2] = [self.made[best]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank((ids[at - 1], ids[at]), never)
+            if at < len(ranks):
+                ranks[at] = rank((ids[at], ids[at + 1]), never)
         return ids
 
     def long(self, ids: list[int]) -> list[int]:
         """The same for a long word, with a heap of pairs and links between neighbours."""
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        heap = [(*self.rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
-        heap = [(r, i, new, p) for r, new, i, p in heap]
+        heap = [(self.rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in self.rank]
         heapq.heapify(heap)
 
         def offer(i: int) -> None:
             if i >= 0 and after[i] < len(ids) and (p := (ids[i], ids[after[i]])) in self.rank:
-                r, new = self.rank[p]
-                heapq.heappush(heap, (r, i, new, p))
+                heapq.heappush(heap, (self.rank[p], i, p))
 
         while heap:
-            _, i, new, (a, b) = heapq.heappop(heap)
+            r, i, (a, b) = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= len(ids) or ids[j] != b:
                 continue
-            ids[i], ids[j] = new, -1
+            ids[i], ids[j] = self.made[r], -1
             after[i] = after[j]
             if after[i] < len(ids):
                 before[after[i]] = i
