@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, by_bytes, mapped, put, ragged, texts
@@ -292,8 +292,15 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, tokenizer: str, work: Workspace, words: int = WORDS) -> str:
-    """The transducer file of the most frequent words of ``docs``; its path."""
-    frequent = [bytes(r.word) for r in count_words(docs, tokenizer).orderBy(F.desc("n"), "word").limit(words).collect()]
+    """The transducer file of the most frequent words of ``docs``, at most ``words``; its path.
+
+    The least count is found from how many words have each count, so that only the chosen words reach the driver.
+    """
+    counts = work.save(count_words(docs, tokenizer), "counts")
+    classes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("c"))  # no more rows than the root of twice the corpus
+    upward = classes.withColumn("total", F.sum("c").over(Window.orderBy(F.desc("n"))))
+    least = upward.filter(F.col("total") <= words).agg(F.min("n").alias("n")).collect()[0]["n"]
+    frequent = [] if least is None else [bytes(r.word) for r in counts.filter(F.col("n") >= least).select("word").collect()]
     merges = Merges(tokenizer)
     path = f"{work.folder('lexicon')}/automaton.bin"
     put(path, Automaton.build({w: merges.ids(w) for w in frequent}))
