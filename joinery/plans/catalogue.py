@@ -352,6 +352,12 @@ def debug_keys(spark: SparkSession, sf: str) -> DataFrame:
     return outer(spark, sf).filter(F.pmod("key", F.lit(1000)) == 0)
 
 
+@query("select l_orderkey as key, l_suppkey as rid, l_orderkey % 1000 as shown from lineitem")
+def debug_all_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row of a relation, as a look into it prints them; ``shown`` is the key by the modulus of the display."""
+    return outer(spark, sf).withColumn("shown", F.col("key") % 1000)
+
+
 @query()
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     return report(timed_run(inner(spark, sf), outer(spark, sf)).frame(spark))

@@ -20,6 +20,12 @@ def test_run_report_has_every_phase(spark, sf):
     assert got["JTOTAL"]["total"] >= got["JHIST"]["total"]
 
 
+def test_a_look_into_a_relation_leaves_no_row_out(spark, sf):
+    got = QUERIES["debug_all_keys"](spark, sf)
+    assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert got.filter("shown <> key % 1000 or shown is null").count() == 0
+
+
 def test_entry(spark):
     import __spark_entry__
 
