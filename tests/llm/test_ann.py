@@ -62,3 +62,15 @@ def test_bounds_hold():
         true = ann.distances(index.vectors, q) ** 2
         held.append((low <= true + 1e-9) & (true <= high + 1e-9))  # a vector at a centre is exact but for rounding
     assert np.mean(held) > 0.98  # two and a half standard deviations leave out 0.012
+
+
+def test_bounds_fail_with_a_tiny_chance_only():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 64))
+    index = ann.Index(np.arange(2000), x, ann.centres(x[:500]), ann.rotation(64))
+    held = []
+    for q in rng.standard_normal((40, 64)):
+        low, high = index.bounds(q)
+        true = ann.distances(index.vectors, q) ** 2
+        held.append((low <= true + 1e-9) & (true <= high + 1e-9))
+    assert np.mean(held) > 0.9997  # four standard deviations leave out 6e-5
