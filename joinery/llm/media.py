@@ -4,7 +4,9 @@ A payload is cut where a rolling gear hash of its last 32 bytes has its top
 bits clear, between a least and a most size. Each writing task appends the
 chunks it has not seen to a pack and keeps a recipe (an ordered list of chunk
 digests) for every payload. Spark joins on the digests choose one copy of each
-chunk among all packs; the packs are then rewritten without the other copies.
+chunk among all packs; the packs are then rewritten without the other copies, in
+rounds after each of which the packs it has read are deleted, so there is never a
+second copy of them all.
 Readers follow a pack's recipes in order, so most chunks are read where the
 recipe is; every chunk and every payload is verified by its digest.
 
@@ -25,10 +27,12 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +40,11 @@ from .common import Workspace, by_bytes, open_fs, texts
 
 UNIT, TAIL = 576, 32
 #: Least size of a chunk, bits that must be clear at a cut (mean size: least + 2^bits), most size.
-LEAST, BITS, MOST = 2048, 13, 65536
+LEAST, BITS, MOST = 512, 11, 16384
 WINDOW = 32
 LEVEL = 15
+#: Rounds in which packs are rewritten.
+ROUNDS = 4
 
 
 def gear() -> np.ndarray:
@@ -126,7 +132,7 @@ def store(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
 
     recipes = work.save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, RECIPES), "recipes")
     held = recipes.select("pack", "digests", F.explode("added").alias("c")).select(F.col("digests")[F.col("c.k")].alias("digest"), "pack", "c.at", "c.size")
-    one = held.groupBy("digest").agg(F.min(F.struct("pack", "at", "size")).alias("c")).select("digest", "c.*")
+    one = work.save(held.groupBy("digest").agg(F.min(F.struct("pack", "at", "size")).alias("c")).select("digest", "c.*"), "chosen")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = target = opened = None
@@ -151,9 +157,17 @@ def store(docs: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
             for f in opened or ():
                 f.close()
 
-    chunks = work.save(one.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(rewrite, CHUNKS), "chunks")
+    rounds = []
+    for k in range(ROUNDS):
+        own = one.filter(F.pmod("pack", F.lit(ROUNDS)) == k)
+        rounds.append(work.save(own.repartition("pack").sortWithinPartitions("pack", "at").mapInArrow(rewrite, CHUNKS), f"chunks-{k}"))
+        fs, p = open_fs(raw)
+        for f in fs.get_file_info(FileSelector(p)):
+            if int(f.base_name) % ROUNDS == k:
+                fs.delete_file(f.path)
     work.drop("raw-packs")
-    return recipes.drop("added"), chunks
+    work.drop("chosen")
+    return recipes.drop("added"), reduce(DataFrame.unionAll, rounds)
 
 
 CHUNKS = "digest binary, pack long, at long, size int"

@@ -119,3 +119,14 @@ def test_each_chunk_is_stored_once(spark, odd):
     assert len({r.digest for r in rows}) == len(rows)
     used = {bytes(d) for r in recipes.collect() for d in r.digests}
     assert used == {bytes(r.digest) for r in rows}
+
+
+def test_a_passage_shared_by_different_texts_is_stored_once():
+    words = lambda seed, n: " ".join(random.Random(seed + k).randbytes(3).hex() for k in range(n)).encode()
+    shared, found = 0, 0
+    for k in range(10):
+        passage = words(10**6 * k, 900)  # about 6 KB
+        payloads = [words(10**6 * k + 10**4 * j, 150 * j) + b" " + passage + b" " + words(10**6 * k + 10**5 * j, 400) for j in (1, 2)]
+        chunks = [{p[a:b] for a, b in zip([0, *ends], ends)} for p, ends in zip(payloads, media.cuts(payloads))]
+        shared, found = shared + len(passage), found + sum(map(len, chunks[0] & chunks[1]))
+    assert found > 0.3 * shared
