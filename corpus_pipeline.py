@@ -6,12 +6,14 @@ return them with their own columns; the last returns the packed pieces.
 Quality drops documents that score under the threshold; language ID drops those
 without a letter and those for which no language stands out; near-duplicate
 removal keeps the document with the smallest id of each group (rows without an
-id stay, and rows that share one stay together).
+id stay; of rows that share one, those with a text stay together, and each of
+their texts is judged by itself).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from joinery.llm import langid, minhash, packing, quality
 from joinery.llm.common import Workspace
@@ -27,8 +29,9 @@ def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    copies = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.hint("merge").join(copies, "doc_id", "left_anti")
+    copies = minhash.copies(docs)
+    same = (docs["doc_id"].cast("long") == copies["copy_id"]) & (F.xxhash64(docs["text"]) == copies["copy_mark"])
+    return docs.hint("merge").join(copies, same, "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

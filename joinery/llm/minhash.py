@@ -7,7 +7,9 @@ spread over different places, so the signature varies less than independent
 minima, and a document stops as soon as every place holds less than the next
 rank. Signatures are cut into bands; documents that agree on a band meet.
 
-Equal sets count once (their smallest id stands for them). In each bucket all
+Equal sets count once: each set has a number, and the row with the smallest id
+stands for it by that id and a hash of its text, for an id can stand on rows with
+different texts. In each bucket all
 others are compared with a centre, which a hash picks anew for every bucket, so
 a member of many buckets meets many centres. Where the links found leave a
 bucket with more than one component, the members outside the centre's component
@@ -23,7 +25,8 @@ With 40 bands of 5 rows a pair at the threshold of 0.75 meets with a chance of
 at least 1 - (1 - 0.75^5)^40 = 0.99998.
 
 Null and empty texts, or texts of white space, have an empty set and are linked
-with nothing. Rows that share a ``doc_id`` count as linked if they have words; a
+with nothing. Rows that share a ``doc_id`` count as linked if they have words, and
+join the components of their texts; ``copies`` judges each text by itself. A
 null ``doc_id`` has a null component, is kept and links with nothing. No rows
 give no rows. Other columns are not read.
 """
@@ -124,8 +127,8 @@ def signatures(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return sig
 
 
-SKETCH = "doc_id long, n_shingles long, digest binary, agree binary, bands array<long>"
-SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("agree", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH = "doc_id long, mark long, n_shingles long, digest binary, agree binary, bands array<long>"
+SKETCH_ARROW = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("agree", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,6 +145,7 @@ def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     some.column("doc_id"),
+                    some.column("mark"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s, digest_size=16).digest() if f else None for s, f in zip(sets, full)], pa.binary()),
                     pa.array([a.tobytes() if f else None for a, f in zip(agree, full)], pa.binary()),
@@ -174,7 +178,7 @@ def short_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for some in by_bytes(batch):
             sets = [np.sort(s.astype(np.uint32)).tobytes() if len(s) <= WHOLE else None for s in shingle_sets(texts(some))]
-            yield pa.RecordBatch.from_arrays([some.column("doc_id"), pa.array(sets, pa.binary())], schema=OPEN_SET)
+            yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(sets, pa.binary())], schema=OPEN_SET)
 
 
 class Block:
@@ -252,17 +256,22 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pairs_of(np.array(a, np.int64), np.array(b, np.int64))
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def with_texts(wanted: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` with the text of the set ``doc``, which ``places`` (doc, doc_id, mark) finds in ``docs``."""
+    return wanted.hint("merge").join(places, "doc").hint("merge").join(docs, ["doc_id", "mark"]).drop("doc_id", "mark")
+
+
+def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links on the full sets. Those with one ``a`` are dealt over as many keys as they have blocks."""
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
     dealt = pairs.join(many, "a").select(F.col("a").alias("owner"), F.expr("pmod(xxhash64(b), salts)").alias("salt"), F.col("b").alias("doc"))
     own = dealt.select("owner", "salt", F.col("owner").alias("doc")).distinct()
     wanted = dealt.withColumn("kind", F.lit(1)).unionByName(own.withColumn("kind", F.lit(0)))
-    with_text = wanted.hint("merge").join(docs.withColumnRenamed("doc_id", "doc"), "doc").select("owner", "salt", "kind", "doc", "text")
+    with_text = with_texts(wanted, places, docs).select("owner", "salt", "kind", "doc", "text")
     return with_text.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "kind").mapInArrow(confirmed, "a long, b long")
 
 
-def apart(work: Workspace, members: DataFrame, group: DataFrame, signature: DataFrame, docs: DataFrame) -> DataFrame:
+def apart(work: Workspace, members: DataFrame, group: DataFrame, signature: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) to verify among members of one bucket, its centre left out, that are in different components (see ``Block``)."""
     known = members.filter("members > 2 and doc <> center").hint("merge").join(group.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
@@ -273,8 +282,8 @@ def apart(work: Workspace, members: DataFrame, group: DataFrame, signature: Data
         .select("key", "doc", "n", "component", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("blocks"), (F.coalesce("leading", "center") == F.col("component")).alias("leads")),
         "open",
     )
-    wanted = rows.select(F.col("doc").alias("doc_id")).distinct()
-    hashes = work.save(docs.hint("merge").join(wanted, "doc_id").mapInArrow(short_hashes, "doc long, hashes binary"), "open-sets")
+    wanted = with_texts(rows.select("doc").distinct(), places, docs)
+    hashes = work.save(wanted.select("doc", "text").mapInArrow(short_hashes, "doc long, hashes binary"), "open-sets")
     full = rows.hint("merge").join(signature, "doc").hint("merge").join(hashes, "doc")
     own = ["doc", "n", "component", "agree", "hashes"]
     resident = full.select("key", F.expr("pmod(xxhash64(doc), blocks)").alias("block"), F.lit(False).alias("visits"), *own)
@@ -282,15 +291,14 @@ def apart(work: Workspace, members: DataFrame, group: DataFrame, signature: Data
     return resident.unionByName(visitor).repartition("key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(blockwise, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (smallest linked id) and ``kept`` (it is the document's own) of ``docs`` (doc_id, text)."""
-    work = Workspace(docs.sparkSession, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def grouped(docs: DataFrame, work: Workspace) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text): ``doc_id``, ``mark`` (hash of the text), ``n_shingles`` and ``first``, the smallest id of the texts linked with its own; null without words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
     sketch = work.save(docs.mapInArrow(sketches, SKETCH), "sketch")
     solid = sketch.filter("doc_id is not null and digest is not null")
-    least = solid.groupBy("digest").agg(F.min(F.struct(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n"), "agree", "bands")).alias("r"))
-    reps = work.save(least.select("digest", "r.*"), "reps")
-    signature = reps.select("doc", "agree")
+    least = solid.groupBy("digest").agg(F.min(F.struct("doc_id", "mark", F.col("n_shingles").alias("n"), "agree", "bands")).alias("r")).sortWithinPartitions("digest")
+    reps = work.save(least.select("digest", F.monotonically_increasing_id().alias("doc"), "r.*"), "reps")
+    signature, places = reps.select("doc", "agree"), reps.select("doc", "doc_id", "mark")
 
     rows = reps.select("doc", "n", F.explode("bands").alias("key"))
     picked = F.struct(F.xxhash64("key", "doc").alias("h"), "doc", "n")
@@ -300,13 +308,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = members.filter(fits).select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
     both = pairs.hint("merge").join(signature.toDF("a", "x"), "a").hint("merge").join(signature.toDF("b", "y"), "b")
     candidates = work.save(both.mapInArrow(agreeing, "a long, b long"), "candidates")
-    links = work.save(verified(candidates, docs), "links")
+    links = work.save(verified(candidates, places, docs), "links")
     group = work.save(components(links, work, "first"), "first")
-    found = work.save(apart(work, members, group, signature, docs), "apart")
-    links = links.unionByName(work.save(verified(found, docs), "more-links"))
+    found = work.save(apart(work, members, group, signature, places, docs), "apart")
+    links = links.unionByName(work.save(verified(found, places, docs), "more-links"))
     group = work.save(components(links, work, "all"), "groups")
 
-    by_set = reps.select("digest", "doc").join(group.withColumnRenamed("node", "doc"), "doc", "left").select("digest", F.coalesce("component", "doc").alias("component_id"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(by_set, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    named = group.withColumnRenamed("node", "doc").hint("merge").join(places, "doc")
+    first = named.groupBy("component").agg(F.min("doc_id").alias("first"))
+    by_doc = group.hint("merge").join(first, "component").select(F.col("node").alias("doc"), "first")
+    by_set = reps.select("digest", "doc", "doc_id").join(by_doc, "doc", "left").select("digest", F.coalesce("first", "doc_id").alias("first"))
+    return work.save(sketch.select("doc_id", "mark", "n_shingles", "digest").join(by_set, "digest", "left").drop("digest"), "rows")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` (smallest linked id) and ``kept`` (it is the document's own) of ``docs`` (doc_id, text)."""
+    work = Workspace(docs.sparkSession, "minhash")
+    rows = grouped(docs, work)
+    spread = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).filter("low < high").select("doc_id")
+    shared = work.save(rows.join(spread, "doc_id").filter("first is not null").select("doc_id", "first").distinct(), "shared-ids")
+    if shared.isEmpty():
+        linked = F.col("first")
+    else:
+        rows = rows.join(components(shared, work, "ids").toDF("first", "across"), "first", "left")
+        linked = F.coalesce("across", "first")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(linked, "doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """``copy_id, copy_mark`` (xxhash64 of the text) of the rows of ``docs`` (doc_id, text) whose text is linked with one under a smaller id."""
+    rows = grouped(docs, Workspace(docs.sparkSession, "minhash"))
+    return rows.filter("first < doc_id").select(F.col("doc_id").alias("copy_id"), F.col("mark").alias("copy_mark")).distinct()

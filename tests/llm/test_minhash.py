@@ -84,6 +84,21 @@ def test_copies_of_a_template_and_of_passages(spark):
     assert ours(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)) == brute(docs)
 
 
+def test_one_id_on_different_texts(spark, sf):
+    import corpus_pipeline
+
+    rng = random.Random(7)
+    a, b, c, d = ([f"{rng.randrange(10**6)}" for _ in range(80)] for _ in range(4))
+    near = lambda t, k: " ".join([*t, f"x{k}"])
+    firsts = [(3, near(a, 0)), (5, near(b, 0)), (2, near(c, 0)), (2, near(d, 0))]
+    later = [(5, near(a, 0)), (9, near(b, 1)), (6, near(c, 1)), (7, near(d, 1)), (8, near(d, 0))]
+    docs = spark.createDataFrame(firsts + later, "doc_id long, text string").repartition(3)
+    got = minhash.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, 3 if i in (3, 5, 9) else 2) for i, _ in firsts + later)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+    assert sorted(map(tuple, corpus_pipeline.distinct(spark, docs, sf).collect())) == sorted(firsts)
+
+
 def test_odd_rows(spark, odd, none):
     got = {(-1 if r.doc_id is None else r.doc_id): r for r in minhash.near_duplicates(odd).collect()}
     assert got[-1].component_id is None and got[-1].kept
