@@ -9,17 +9,18 @@ rank. Signatures are cut into bands; documents that agree on a band meet.
 
 Equal sets count once: each set has a number, and the row with the smallest id
 stands for it by that id and a hash of its text, for an id can stand on rows with
-different texts. In each bucket all
-others are compared with a centre, which a hash picks anew for every bucket, so
-a member of many buckets meets many centres. Where the links found leave a
-bucket with more than one component, the members outside the centre's component
-go past all others in blocks that hold their shingle hashes, which are compared
-by an inverted index; of what agrees, the best pair with each component leaves
-the block. So no bucket is capped and none is expanded into pairs, yet each pair
-of a bucket is linked, refuted, or already in one component. Pairs whose
-signatures agree far too little are dropped; links are confirmed on the full
-sets of 64-bit shingle hashes, streamed past the set of the one they are
-compared with.
+different texts. Each bucket has a centre, the first of its members by one of a
+few orders that hold for all buckets, so that the many buckets of one group have
+few centres. Pairs of a member with a centre whose signatures agree far too
+little are dropped. A member is first compared with the centre that
+agrees with it most and the one after. Where the links found leave a bucket with
+more than one component, the members outside the centre's component go past all
+others in blocks that hold their whole sets, which are compared by an inverted
+index; of the links, the best with each component leaves the block, and pairs
+with a document too long for a block leave it to be verified. So no bucket is
+capped and none is expanded into pairs, yet each pair of a bucket is linked,
+refuted, or already in one component. Links are confirmed on the full sets of
+64-bit shingle hashes; only the texts of members of a bucket move for that.
 
 With 40 bands of 5 rows a pair at the threshold of 0.75 meets with a chance of
 at least 1 - (1 - 0.75^5)^40 = 0.99998.
@@ -39,7 +40,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Workspace, by_bytes, ragged, texts
@@ -48,10 +49,14 @@ from .components import components
 WORDS, PLACES, ROWS = 5, 200, 5
 #: Share of equal signature places under which a pair is dropped: five standard deviations under the threshold.
 LEAST_AGREEMENT = 0.75 - 5 * (0.75 * 0.25 / PLACES) ** 0.5
-#: Shingles up to which a document's hashes are compared in a block; longer ones are compared there by signature.
+#: Shingles up to which a document's whole set is compared in a block; longer ones are compared there by signature.
 WHOLE = 2048
 #: Members of a block of one bucket, and documents compared with one that stand together.
 BLOCK = 1024
+#: Orders by which centres are picked; a bucket's key says which is used.
+ORDERS = 3
+#: Centres that a document is compared with first.
+FIRST = 2
 RANK = 56
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -163,22 +168,29 @@ def pairs_of(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose signatures agree often enough."""
+    """The pairs whose signatures agree often enough, and in how many places."""
     for batch in batches:
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, PLACES) for c in ("x", "y"))
-        keep = (x == y).mean(axis=1) >= LEAST_AGREEMENT
-        yield pairs_of(batch.column("a").to_numpy()[keep], batch.column("b").to_numpy()[keep])
+        same = (x == y).sum(axis=1)
+        keep = same >= LEAST_AGREEMENT * PLACES
+        kept = batch.select(["a", "b", "most"]).filter(pa.array(keep))
+        yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(same[keep], pa.int32())], names=["a", "b", "most", "same"])
 
 
-OPEN_SET = pa.schema([("doc", pa.int64()), ("hashes", pa.binary())])
+OPEN_SET = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("agree", pa.binary()), ("hashes", pa.binary())])
 
 
-def short_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted lower halves of the shingle hashes of each document; null for long documents."""
+def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and sorted shingle hashes of each document, null for long documents; the signature only of those that are long or can link with a long one."""
     for batch in batches:
         for some in by_bytes(batch):
-            sets = [np.sort(s.astype(np.uint32)).tobytes() if len(s) <= WHOLE else None for s in shingle_sets(texts(some))]
-            yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array(sets, pa.binary())], schema=OPEN_SET)
+            sets = shingle_sets(texts(some))
+            agree = [a if 4 * len(s) >= 3 * WHOLE else None for a, s in zip(some.column("agree").to_pylist(), sets)]
+            held = [s.tobytes() if len(s) <= WHOLE else None for s in sets]
+            yield pa.RecordBatch.from_arrays([some.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array(agree, pa.binary()), pa.array(held, pa.binary())], schema=OPEN_SET)
+
+
+FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
 
 
 class Block:
@@ -186,41 +198,42 @@ class Block:
 
     def __init__(self, rows: list[dict]):
         self.doc, self.n, self.component = (np.array([r[c] for r in rows]) for c in ("doc", "n", "component"))
-        self.agree = np.frombuffer(b"".join(r["agree"] for r in rows), np.uint8).reshape(-1, PLACES)
+        self.agree = np.frombuffer(b"".join(r["agree"] or bytes(PLACES) for r in rows), np.uint8).reshape(-1, PLACES)
         self.whole = np.array([r["hashes"] is not None for r in rows])
-        sets = [np.frombuffer(r["hashes"] or b"", np.uint32) for r in rows]
+        sets = [np.frombuffer(r["hashes"] or b"", np.uint64) for r in rows]
         every = np.concatenate(sets)
         order = np.argsort(every, kind="stable")
         self.owner = np.repeat(np.arange(len(rows)), [len(s) for s in sets])[order]
         self.hash, self.first = np.unique(every[order], return_index=True)
         self.last = np.append(self.first[1:], len(every))
 
-    def matches(self, v: dict) -> np.ndarray:
-        """Residents to verify with a visitor: of its links by hashes the best in each component, and those long ones that agree."""
+    def matches(self, v: dict) -> tuple[np.ndarray, int]:
+        """Residents in other components than a visitor: those of its links by whole sets that are the best in their component, how many they are, and then those whose signatures agree, where one of the two is long."""
         fits = (self.component != v["component"]) & (4 * np.minimum(self.n, v["n"]) >= 3 * np.maximum(self.n, v["n"]))
         if not fits.any():
-            return np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), 0
         by_hash = fits & self.whole if v["hashes"] is not None else np.zeros(len(fits), bool)
         long = np.flatnonzero(fits & ~by_hash)
-        long = long[(self.agree[long] == np.frombuffer(v["agree"], np.uint8)).mean(axis=1) >= LEAST_AGREEMENT]
+        if len(long):
+            long = long[(self.agree[long] == np.frombuffer(v["agree"], np.uint8)).mean(axis=1) >= LEAST_AGREEMENT]
         if not by_hash.any():
-            return long
-        own = np.frombuffer(v["hashes"], np.uint32)
+            return long, 0
+        own = np.frombuffer(v["hashes"], np.uint64)
         at = np.minimum(np.searchsorted(self.hash, own), len(self.hash) - 1)
         at = at[self.hash[at] == own]
         both = np.bincount(self.owner[ragged(self.first[at], self.last[at] - self.first[at])], minlength=len(fits))
-        # one shingle fewer is let pass, for two hashes of a set may have one lower half
-        best = np.flatnonzero(by_hash & (100 * (both + 1) >= 75 * (self.n + v["n"] - both - 1)))
+        best = np.flatnonzero(by_hash & (both > 0) & (100 * both >= 75 * (self.n + v["n"] - both)))
         best = best[np.lexsort((self.doc[best], -both[best] / (self.n[best] + v["n"] - both[best])))]
-        return np.concatenate([best[np.unique(self.component[best], return_index=True)[1]], long])
+        best = best[np.unique(self.component[best], return_index=True)[1]]
+        return np.concatenate([best, long]), len(best)
 
 
 def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs to verify of each block's residents with its visitors. Residents come first."""
+    """Links of each block's residents with its visitors (``sure``), and pairs with long documents to verify. Residents come first."""
     block, resident, index = None, [], None
     for batch in batches:
         for some in by_bytes(batch, "hashes"):
-            a, b = [], []
+            a, b, sure = [], [], []
             for row in some.to_pylist():
                 if (row["key"], row["block"]) != block:
                     block, resident, index = (row["key"], row["block"]), [], None
@@ -230,11 +243,13 @@ def blockwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if index is None and resident:
                     index = Block(resident)
                 if index:
-                    found = index.doc[index.matches(row)]
+                    at, links = index.matches(row)
+                    found = index.doc[at]
                     a.append(np.minimum(found, row["doc"]))
                     b.append(np.maximum(found, row["doc"]))
+                    sure.append(np.arange(len(at)) < links)
             if a:
-                yield pairs_of(np.concatenate(a), np.concatenate(b))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64()), pa.array(np.concatenate(sure))], schema=FOUND)
 
 
 def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,39 +271,32 @@ def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pairs_of(np.array(a, np.int64), np.array(b, np.int64))
 
 
-def with_texts(wanted: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of ``wanted`` with the text of the set ``doc``, which ``places`` (doc, doc_id, mark) finds in ``docs``."""
-    return wanted.hint("merge").join(places, "doc").hint("merge").join(docs, ["doc_id", "mark"]).drop("doc_id", "mark")
-
-
-def verified(pairs: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are links on the full sets. Those with one ``a`` are dealt over as many keys as they have blocks."""
-    many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts"))
-    dealt = pairs.join(many, "a").select(F.col("a").alias("owner"), F.expr("pmod(xxhash64(b), salts)").alias("salt"), F.col("b").alias("doc"))
+def verified(pairs: DataFrame, members: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of ``pairs`` that are links on the full sets of the texts in ``members`` (doc, text). Those with one ``a`` are dealt over as many keys as they have blocks."""
+    many = work.save(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("salts")).filter("salts > 1"), f"{name}-hot")
+    dealt = pairs.join(many, "a", "left").select(F.col("a").alias("owner"), F.expr("pmod(xxhash64(b), coalesce(salts, 1L))").alias("salt"), F.col("b").alias("doc"))
     own = dealt.select("owner", "salt", F.col("owner").alias("doc")).distinct()
     wanted = dealt.withColumn("kind", F.lit(1)).unionByName(own.withColumn("kind", F.lit(0)))
-    with_text = with_texts(wanted, places, docs).select("owner", "salt", "kind", "doc", "text")
-    return with_text.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "kind").mapInArrow(confirmed, "a long, b long")
-
-
-def apart(work: Workspace, members: DataFrame, group: DataFrame, signature: DataFrame, places: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) to verify among members of one bucket, its centre left out, that are in different components (see ``Block``)."""
-    known = members.filter("members > 2 and doc <> center").hint("merge").join(group.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    rows = work.save(
-        known.hint("merge")
-        .join(mixed, "key")
-        .join(group.toDF("center", "leading"), "center", "left")
-        .select("key", "doc", "n", "component", F.expr(f"(members + {BLOCK - 1}) div {BLOCK}").alias("blocks"), (F.coalesce("leading", "center") == F.col("component")).alias("leads")),
-        "open",
-    )
-    wanted = with_texts(rows.select("doc").distinct(), places, docs)
-    hashes = work.save(wanted.select("doc", "text").mapInArrow(short_hashes, "doc long, hashes binary"), "open-sets")
-    full = rows.hint("merge").join(signature, "doc").hint("merge").join(hashes, "doc")
-    own = ["doc", "n", "component", "agree", "hashes"]
-    resident = full.select("key", F.expr("pmod(xxhash64(doc), blocks)").alias("block"), F.lit(False).alias("visits"), *own)
-    visitor = full.filter("not leads").select("key", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("block"), F.lit(True).alias("visits"), *own)
-    return resident.unionByName(visitor).repartition("key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(blockwise, "a long, b long").distinct()
+    with_text = wanted.hint("merge").join(members, "doc").select("owner", "salt", "kind", "doc", "text")
+    dealt_out = with_text.repartition("owner", "salt").sortWithinPartitions("owner", "salt", "kind")
+    return work.save(dealt_out.mapInArrow(confirmed, "a long, b long"), name)
+
+
+def apart(work: Workspace, members: DataFrame, group: DataFrame, signature: DataFrame, texts_of: DataFrame) -> DataFrame:
+    """Pairs (a, b, sure) of members of one bucket that are in different components: links, and pairs to verify (see ``Block``)."""
+    known = members.filter("members > 2").hint("merge").join(group.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    known = work.save(known, "known")
+    mixed = work.save(known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "mixed")
+    blocks = F.expr(f"(members + {BLOCK - 1}) div {BLOCK}")
+    leads = F.coalesce("leading", "center") == F.col("component")
+    rows = known.join(mixed, "key").join(group.toDF("center", "leading"), "center", "left").select("key", "doc", "component", blocks.alias("blocks"), leads.alias("leads"))
+    rows = work.save(rows, "open")
+    wanted = rows.select("doc").distinct().hint("merge").join(texts_of, "doc").hint("merge").join(signature, "doc")
+    sets = work.save(wanted.select("doc", "agree", "text").mapInArrow(whole_sets, "doc long, n long, agree binary, hashes binary"), "open-sets")
+    home = F.expr("array(struct(pmod(xxhash64(doc), blocks) as block, false as visits))")
+    visits = F.expr("transform(sequence(0L, blocks - 1), x -> struct(x as block, true as visits))")
+    placed = rows.select("key", "doc", "component", F.explode(F.when(F.col("leads"), home).otherwise(F.concat(home, visits))).alias("at")).select("key", "at.*", "doc", "component")
+    return placed.hint("merge").join(sets, "doc").repartition("key", "block").sortWithinPartitions("key", "block", "visits").mapInArrow(blockwise, "a long, b long, sure boolean").distinct()
 
 
 def grouped(docs: DataFrame, work: Workspace) -> DataFrame:
@@ -300,25 +308,36 @@ def grouped(docs: DataFrame, work: Workspace) -> DataFrame:
     reps = work.save(least.select("digest", F.monotonically_increasing_id().alias("doc"), "r.*"), "reps")
     signature, places = reps.select("doc", "agree"), reps.select("doc", "doc_id", "mark")
 
+    # tables are written where a join follows an aggregate by its key, so that adaptive execution can split hot keys
     rows = reps.select("doc", "n", F.explode("bands").alias("key"))
-    picked = F.struct(F.xxhash64("key", "doc").alias("h"), "doc", "n")
-    buckets = rows.groupBy("key").agg(F.min(picked).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    picked = F.struct(F.xxhash64(F.pmod("key", F.lit(ORDERS)), "doc").alias("h"), "doc", "n")
+    buckets = work.save(rows.groupBy("key").agg(F.min(picked).alias("c"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
     members = work.save(rows.hint("merge").join(buckets, "key").select("key", "doc", "n", F.col("c.doc").alias("center"), F.col("c.n").alias("center_n"), "members"), "members")
+    places_in = members.select("doc").distinct().hint("merge").join(places, "doc")
+    texts_of = work.save(places_in.hint("merge").join(docs, ["doc_id", "mark"]).dropDuplicates(["doc"]).select("doc", "text"), "texts")
+
     fits = "doc <> center and 4 * least(n, center_n) >= 3 * greatest(n, center_n)"
-    pairs = members.filter(fits).select(F.least("center", "doc").alias("a"), F.greatest("center", "doc").alias("b")).distinct()
-    both = pairs.hint("merge").join(signature.toDF("a", "x"), "a").hint("merge").join(signature.toDF("b", "y"), "b")
-    candidates = work.save(both.mapInArrow(agreeing, "a long, b long"), "candidates")
-    links = work.save(verified(candidates, places, docs), "links")
+    pairs = members.filter(fits).groupBy("center", "doc").agg(F.max("members").alias("most"))
+    both = pairs.hint("merge").join(signature.toDF("center", "x"), "center").hint("merge").join(signature.toDF("doc", "y"), "doc")
+    candidates = both.select(F.col("center").alias("a"), F.col("doc").alias("b"), "most", "x", "y").mapInArrow(agreeing, "a long, b long, most long, same int")
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("same"), "a"))  # of a row per band at most
+    ranked = work.save(candidates.select("a", "b", "most", place.alias("place")), "candidates")
+    links = verified(ranked.filter(F.col("place") <= FIRST).select("a", "b"), texts_of, work, "links")
     group = work.save(components(links, work, "first"), "first")
-    found = work.save(apart(work, members, group, signature, places, docs), "apart")
-    links = links.unionByName(work.save(verified(found, places, docs), "more-links"))
+    found = work.save(apart(work, members, group, signature, texts_of), "apart")
+    # of the other pairs, those that have a bucket alone are in no block
+    alone = ranked.filter((F.col("place") > FIRST) & (F.col("most") == 2)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    unsure = work.save(alone.unionByName(found.filter("not sure").drop("sure")).distinct(), "unsure")
+    links = group.filter("node <> component").toDF("a", "b").unionByName(found.filter("sure").drop("sure")).unionByName(verified(unsure, texts_of, work, "more-links"))
     group = work.save(components(links, work, "all"), "groups")
 
     named = group.withColumnRenamed("node", "doc").hint("merge").join(places, "doc")
-    first = named.groupBy("component").agg(F.min("doc_id").alias("first"))
+    first = work.save(named.groupBy("component").agg(F.min("doc_id").alias("first")), "firsts")
     by_doc = group.hint("merge").join(first, "component").select(F.col("node").alias("doc"), "first")
     by_set = reps.select("digest", "doc", "doc_id").join(by_doc, "doc", "left").select("digest", F.coalesce("first", "doc_id").alias("first"))
-    return work.save(sketch.select("doc_id", "mark", "n_shingles", "digest").join(by_set, "digest", "left").drop("digest"), "rows")
+    # rows without a set have keys of their own, longer than digests
+    keyed = sketch.select("doc_id", "mark", "n_shingles", F.coalesce("digest", F.encode(F.lpad(F.xxhash64("doc_id", "mark").cast("string"), 24, " "), "UTF-8")).alias("digest"))
+    return work.save(keyed.join(by_set, "digest", "left").drop("digest"), "rows")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
