@@ -97,6 +97,12 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     return ["" if x is None else x for x in batch.column(column).to_pylist()]
 
 
+def binaries(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each span of ``values``; spans lie end to end."""
+    offsets = np.append(0, ends * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start..start+length-1 of each span, end to end."""
     ends = np.cumsum(lengths)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, by_bytes, texts
+from .common import Workspace, binaries, by_bytes, texts
 from .tokens import encoder
 
 #: Rows of partition bases up to which they are broadcast (16 bytes each); beyond, they are joined by shuffle.
@@ -36,15 +36,13 @@ PIECES_ARROW = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("s
 def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for some in by_bytes(batch):
-                ids = [x + end for x in enc.encode(texts(some))]
-                n = np.fromiter(map(len, ids), np.int64, len(ids)) // enc.dtype.itemsize
-                first = before + np.cumsum(n) - n
-                before += int(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part)), pa.array(first), pa.array(n), some.column("doc_id"), pa.array(ids, pa.binary())], schema=IDS_ARROW)
+                ids, ends = enc.flat(texts(some), end_id)
+                first = np.append(0, ends[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ends), part)), pa.array(before + first), pa.array(ends - first), some.column("doc_id"), binaries(ids, ends)], schema=IDS_ARROW)
+                before += int(ends[-1])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, IDS)
 

@@ -82,15 +82,14 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, work: Workspace)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, specials=False)
-        end = np.array([separator], enc.dtype).tobytes()
         path, size, ordinal = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin", 0, 0
         fs, p = open_fs(path)
         with fs.open_output_stream(p, compression=None) as out:
             for batch in batches:
                 for some in by_bytes(batch):
-                    data = b"".join(x + end for x in enc.encode(texts(some)))
-                    out.write(data)
-                    size += len(data) // enc.dtype.itemsize
+                    ids, _ = enc.flat(texts(some), separator)
+                    out.write(ids.tobytes())
+                    size += len(ids)
                     n = some.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array([path] * n), pa.array(range(ordinal, ordinal + n), pa.int64()), some.column("doc_id"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32())], schema=WROTE_ARROW)
                     ordinal += n

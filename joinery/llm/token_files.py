@@ -43,7 +43,6 @@ def write(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int = 0, nam
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         shard = TaskContext.get().partitionId()
         stem = f"{folder}/{shard:06d}-{uuid.uuid4().hex}"
         fs, path = open_fs(f"{stem}.bin")
@@ -53,9 +52,9 @@ def write(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int = 0, nam
         with fs.open_output_stream(path, compression=None) as out:
             for batch in batches:
                 for part in by_bytes(batch):
-                    each = [x + end for x in enc.encode(texts(part))]
-                    out.write(b"".join(each))
-                    lengths.append(np.fromiter(map(len, each), np.int64, len(each)) // enc.dtype.itemsize)
+                    flat, ends = enc.flat(texts(part), end_id)
+                    out.write(flat.tobytes())
+                    lengths.append(np.diff(ends, prepend=0))
                     key = part.column("doc_id")
                     null.append(key.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
                     ids.append(key.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))

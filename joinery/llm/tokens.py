@@ -2,8 +2,9 @@
 
 The library encodes a byte-level BPE text by splitting it into words and merging
 each word alone, so the ids of a text are the ids of its words end to end. The
-split is done here over whole batches with array operations; the library then
-encodes each distinct word once, and a bounded cache keeps the result. The ids
+split is done here over whole batches with array operations, as is the search for
+the words in a bounded table of those that the library has encoded before; the
+library encodes each other word once. The ids
 equal ``Tokenizer.encode(text, add_special_tokens=False)``: the strings of the
 tokenizer's added tokens become their ids as they do there.
 """
@@ -15,6 +16,8 @@ import json
 
 import numpy as np
 
+from .common import ragged
+
 LETTER, NUMBER, SPACE, END = 1, 2, 3, 4
 
 
@@ -106,60 +109,161 @@ class SpecialSplit:
         return segments, between
 
 
+#: Bytes of the words that a table holds; longer words are encoded anew.
+SHORT = 16
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+class WordTable:
+    """Places and numbers of ids of words of at most ``SHORT`` bytes, by open addressing in arrays. A word is its own key, two 64-bit numbers and its length, so what is found is exact."""
+
+    def __init__(self, bits: int):
+        n = 1 << bits
+        self.bits, self.words = bits, 0
+        self.low, self.high, self.size = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint8)
+        self.at, self.count = np.zeros(n, np.int64), np.zeros(n, np.uint8)
+
+    @staticmethod
+    def keys(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words' bytes as numbers; ``data`` goes on for ``SHORT`` bytes after the last word."""
+        eight = np.ndarray(len(data) - 7, "<u8", buffer=data, strides=(1,))
+        low = eight[start] & MASKS[np.minimum(length, 8)]
+        high = np.zeros(len(start), np.uint64)
+        more = np.flatnonzero(length > 8)
+        high[more] = eight[start[more] + 8] & MASKS[length[more] - 8]
+        return low, high
+
+    def slots(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
+        h = (low ^ length.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h = ((h ^ (h >> np.uint64(29))) + high) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Each word's slot, or -1."""
+        slot = self.slots(low, high, length)
+        same = (self.low[slot] == low) & (self.high[slot] == high) & (self.size[slot] == length)
+        found = np.where(same, slot, -1)
+        on = np.flatnonzero(~same & (self.size[slot] > 0))
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) & (len(self.low) - 1)
+            same = (self.low[slot] == low[on]) & (self.high[slot] == high[on]) & (self.size[slot] == length[on])
+            found[on[same]] = slot[same]
+            left = ~same & (self.size[slot] > 0)
+            on, slot = on[left], slot[left]
+        return found
+
+    def add(self, low: np.ndarray, high: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Take in words that are not there, maybe more than once: the slot of each, and which are the first of their kind."""
+        out, first = np.empty(len(low), np.int64), np.zeros(len(low), bool)
+        on, slot = np.arange(len(low)), self.slots(low, high, length)
+        while len(on):
+            free = np.flatnonzero(self.size[slot] == 0)
+            self.at[slot[free]] = on[free]  # of the words that want a slot, one stays
+            free = free[self.at[slot[free]] == on[free]]
+            to, new = slot[free], on[free]
+            self.low[to], self.high[to], self.size[to] = low[new], high[new], length[new]
+            first[new] = True
+            same = (self.low[slot] == low[on]) & (self.high[slot] == high[on]) & (self.size[slot] == length[on])
+            out[on[same]] = slot[same]
+            on, slot = on[~same], (slot[~same] + 1) & (len(self.low) - 1)
+        self.words += int(first.sum())
+        return out, first
+
+
 class Encoder:
-    """``encode(texts)``: the ids of each text as bytes of little-endian unsigned integers (``dtype``: 16 bits where the vocabulary allows, else 32)."""
+    """Ids of texts as unsigned integers (``dtype``: 16 bits where the vocabulary allows, else 32)."""
 
-    def __init__(self, path: str, cache_words: int = 300_000, specials: bool = True):
+    def __init__(self, path: str, cache_words: int = 1 << 20, specials: bool = True):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        whole = Tokenizer.from_file(path)
+        self.words = Tokenizer(whole.model)  # the library's model alone, for words as they are
+        vocab = whole.get_vocab(with_added_tokens=False)
+        self.letters = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.letters[list(vocab.values())] = [len(t) for t in vocab]
         self.special = SpecialSplit(path)
         if not specials:
-            self.tokenizer.encode_special_tokens = True
             self.special.ids, self.special.cut = {}, None
         self.dtype = np.dtype("<u2") if self.special.size <= 1 << 16 else np.dtype("<u4")
-        self.cache: dict[bytes, bytes] = {}
-        self.cache_words = cache_words
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of words by the library's model, which takes bytes as the byte-level letters."""
-        split = self.tokenizer.model.tokenize
-        letters = byte_letters()
-        return {w: np.array([t.id for t in split(w.decode("latin-1").translate(letters))], self.dtype).tobytes() for w in words}
-
-    def lookup(self, words: list[bytes]) -> list[bytes]:
-        got = list(map(self.cache.get, words))
-        if None in got:
-            missing = {w for w, g in zip(words, got) if g is None}
-            new = self.learn(missing)
-            if len(self.cache) + len(new) > self.cache_words:
-                known = {w: g for w, g in zip(words, got) if g is not None}
-                self.cache.clear()
-                new |= known
-            self.cache.update((w, x) for w, x in new.items() if len(w) <= 64)
-            got = [new[w] if g is None else g for w, g in zip(words, got)]
-        return got
+        self.table = WordTable((2 * cache_words - 1).bit_length())
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by the library's model, which takes bytes as the byte-level letters: end to end, and how many each has."""
+        letters = np.frombuffer(byte_letters().encode("utf-32-le"), "<u4")
+        said = letters[np.frombuffer(b"".join(words), np.uint8)].tobytes().decode("utf-32-le")
+        ends = np.cumsum([len(w) for w in words], dtype=np.int64)
+        cut = ends.tolist()
+        spelt = [said[a:b] for a, b in zip([0, *cut], cut)]
+        parts = [np.zeros(0, self.dtype)]
+        for a in range(0, len(words), 1 << 12):
+            (some,) = self.words.encode_batch_fast([spelt[a : a + (1 << 12)]], is_pretokenized=True, add_special_tokens=False)
+            parts.append(np.array(some.ids, self.dtype))
+        ids = np.concatenate(parts)
+        last = np.searchsorted(np.cumsum(self.letters[ids]), ends) + 1  # the id that reaches a word's end is its last
+        return ids, np.diff(last, prepend=0)
+
+    def hold(self, ids: np.ndarray, at: int) -> None:
+        """Put ids at a place of the array of all ids."""
+        while at + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at : at + len(ids)] = ids
+
+    def room(self, words: int, place: np.ndarray, count: np.ndarray) -> None:
+        """Forget what is known if so many more words would fill the table; ids that the batch has found stay."""
+        if 4 * (self.table.words + words) <= 3 << self.table.bits:
+            return
+        kept = self.ids[ragged(place, count)]
+        self.table = WordTable(max(self.table.bits, (2 * words).bit_length()))
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), len(kept)
+        self.hold(kept, 0)
+        place[:] = np.cumsum(count) - count
+
+    def flat(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts end to end, each closed by ``end_id`` if there is one; where each ends."""
         if not texts:
-            return []
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
         segments, between = self.special(texts)
         data, at, closing = split_words(segments)
-        at = at.tolist()
-        got = self.lookup([data[a:b] for a, b in zip(at, at[1:])])
-        out, i, first = [], 0, 0
-        for added in between:
-            parts = []
-            for k in range(len(added) + 1):
-                parts += got[first : closing[i]]
-                first = closing[i] + 1
-                i += 1
-                if k < len(added):
-                    parts.append(np.array([added[k]], self.dtype).tobytes())
-            out.append(b"".join(parts))
-        return out
+        start, length = at[:-1], np.diff(at)
+        closes = np.zeros(len(start), bool)
+        closes[closing] = True
+        place, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+
+        short = np.flatnonzero((length <= SHORT) & ~closes)
+        low, high = WordTable.keys(np.frombuffer(data + bytes(SHORT), np.uint8), start[short], length[short])
+        slot = self.table.find(low, high, length[short])
+        known, new = short[slot >= 0], np.flatnonzero(slot < 0)
+        place[known], count[known] = self.table.at[slot[slot >= 0]], self.table.count[slot[slot >= 0]]
+        self.room(len(new), place, count)
+        slot, first = self.table.add(low[new], high[new], length[short[new]])
+        new = short[new]
+
+        once, long = new[first], np.flatnonzero(length > SHORT)
+        ids, size = self.learn([data[a:b] for x in (once, long) for a, b in zip(start[x].tolist(), (start[x] + length[x]).tolist())])
+        self.hold(ids, self.used)
+        began = self.used + np.cumsum(size) - size
+        self.table.at[slot[first]], self.table.count[slot[first]] = began[: len(once)], size[: len(once)]
+        place[new], count[new] = self.table.at[slot], self.table.count[slot]
+        place[long], count[long] = began[len(once) :], size[len(once) :]
+        tail = self.used + len(ids)
+        self.used += int(size[: len(once)].sum())
+
+        after = [[*x, end_id] for x in between]  # the id that follows each segment
+        own = [i for x in after for i in x]
+        self.hold(np.array([0 if i is None else i for i in own], self.dtype), tail)
+        place[closing], count[closing] = tail + np.arange(len(own)), [i is not None for i in own]
+        ends = np.cumsum(count)
+        last = np.cumsum([len(x) for x in after]) - 1
+        return self.ids[ragged(place, count)], ends[closing[last]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as bytes."""
+        ids, ends = self.flat(texts)
+        width, data, ends = self.dtype.itemsize, ids.tobytes(), ends.tolist()
+        return [data[width * a : width * b] for a, b in zip([0, *ends], ends)]
 
 
 @functools.lru_cache(maxsize=2)
