@@ -11,16 +11,16 @@ The inner product of a query with a vector is estimated from the packed bits
 nearest by estimate are reranked with their original components, then every
 vector whose lower bound does not exceed the k-th smallest distance found.
 
-Vectors are dealt into blocks by the hash of their ids, so neither a label nor
-a repeated vector makes a block large, and every query is streamed past every
-block: the codes are scanned in full, memory holds one block and one batch of
-queries, and only each block's nearest leave it.
+Vectors are dealt into blocks at random (by a fixed seed), so no repeated row
+makes a block large, and every query is streamed past every block: the codes are
+scanned in full, memory holds one block and one batch of queries, and only each
+block's nearest leave it.
 
 Vectors that are null, zero, of other than the common length, or hold null or
-non-finite components take no part. Null ids take no part; rows that repeat an
-id are vectors of their own and none of them is a candidate of that id's
-queries. Ties go to the smaller id. An empty table gives no rows. Other columns
-are not read.
+non-finite components take no part. Null ids take no part. Rows that repeat an id
+are vectors of their own, each a query with its own ranks (equal vectors of one id
+are one query), and none of them is a candidate of that id's queries. Ties go to
+the smaller id. An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -139,8 +139,8 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-FOUND = "query_id long, vec_id long, score double"
-FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+FOUND = "query_id long, mark long, vec_id long, score double"
+FOUND_ARROW = pa.schema([("query_id", pa.int64()), ("mark", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -148,6 +148,19 @@ def matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1).astype(np.float64)
 
 
+def fitted(drawn: DataFrame, dims: int) -> np.ndarray:
+    """The centres, fitted by one task on the bounded sample ``drawn``; only they reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("vec_id").to_numpy(), matrix(b.column("embedding"))) for b in batches if b.num_rows]
+        x = np.concatenate([v for _, v in held] or [np.zeros((0, dims))])
+        x = x[np.lexsort((*x.T[::-1], np.concatenate([i for i, _ in held])))] if len(x) else x
+        yield pa.RecordBatch.from_arrays([pa.array([(centres(x) if len(x) else np.zeros((1, dims))).tobytes()], pa.binary())], names=["centres"])
+
+    got = drawn.coalesce(1).mapInArrow(run, "centres binary").first()
+    return np.frombuffer(got["centres"]).reshape(-1, dims) if got else np.zeros((1, dims))
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """``query_id, rank, vec_id, score`` of the ``k`` nearest of ``vectors`` (vec_id, embedding) to each row that ``is_query`` names."""
     spark = vectors.sparkSession
@@ -156,9 +169,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     dims, rows = (sizes[0]["dims"], sizes[0]["count"]) if sizes else (1, 0)
     usable = usable.filter(F.size("embedding") == dims)
     place = F.xxhash64("vec_id").bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)
-    drawn = usable.filter(place <= min(1.0, SAMPLE / max(1, rows))).select("vec_id", "embedding").limit(SAMPLE).collect()
-    drawn = np.array([r.embedding for r in sorted(drawn, key=lambda r: (r.vec_id, r.embedding))], np.float64).reshape(-1, dims)
-    model = spark.sparkContext.broadcast((centres(drawn) if len(drawn) else np.zeros((1, dims)), rotation(dims)))  # CENTRES + dims rows
+    drawn = usable.filter(place <= min(1.0, SAMPLE / max(1, rows))).select("vec_id", "embedding").limit(SAMPLE)
+    model = spark.sparkContext.broadcast((fitted(drawn, dims), rotation(dims)))  # CENTRES + dims rows
     blocks = max(1, -(-rows // BLOCK))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,11 +190,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
             if not index:
                 continue
             some = batch.take(pa.array(own))
-            out = [(qid, *index.search(qid, q, k)) for qid, q in zip(some.column("vec_id").to_pylist(), matrix(some.column("embedding")))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(v), qid) for qid, v, _ in out]), pa.int64()), pa.array(np.concatenate([v for _, v, _ in out]), pa.int64()), pa.array(np.concatenate([s for *_, s in out]), pa.float64())], schema=FOUND_ARROW)
-
-    data = usable.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
-    queries = usable.filter("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
-    found = data.unionByName(queries).repartitionById(blocks, "block").sortWithinPartitions("block", "asks").select("asks", "vec_id", "embedding").mapInArrow(run, FOUND)
-    best = Window.partitionBy("query_id").orderBy("score", "vec_id")
+            out = [index.search(qid, q, k) for qid, q in zip(some.column("vec_id").to_pylist(), matrix(some.column("embedding")))]
+            row = pa.array(np.repeat(np.arange(len(out)), [len(v) for v, _ in out]))
+            yield pa.RecordBatch.from_arrays([some.column("vec_id").take(row), some.column("mark").take(row), pa.array(np.concatenate([v for v, _ in out]), pa.int64()), pa.array(np.concatenate([s for _, s in out]), pa.float64())], schema=FOUND_ARROW)
+
+    mark = F.xxhash64("embedding").alias("mark")
+    data = usable.select(F.floor(F.rand(5) * blocks).cast("int").alias("block"), F.lit(False).alias("asks"), "vec_id", mark, "embedding")
+    asking = usable.filter("asks").select("vec_id", mark, "embedding").dropDuplicates(["vec_id", "mark"])
+    queries = asking.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "mark", "embedding")
+    found = data.unionByName(queries).repartitionById(blocks, "block").sortWithinPartitions("block", "asks").select("asks", "vec_id", "mark", "embedding").mapInArrow(run, FOUND)
+    best = Window.partitionBy("query_id", "mark").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
