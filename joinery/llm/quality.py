@@ -2,15 +2,17 @@
 
 Words are runs of letters and digits or of other marks, in lower case; the
 features of a text are its words and pairs of neighbours, hashed into a fixed
-number of bins, each worth its share of all features. The model is fitted on
-the driver on a bounded sample of labelled rows, one example at a time
-(FTRL-proximal with per-coordinate steps). Scoring sums the weights of a text's
+number of bins, each worth its share of all features. The model is fitted by one
+task on a bounded sample of labelled rows, one example at a time (FTRL-proximal
+with per-coordinate steps). Scoring sums the weights of a text's
 features where the text is and moves nothing.
 
 Null and empty texts, or texts of white space, have no feature: their score is
 that of the intercept. Null ids are scored, never learned from, and not held
-out. Labels that are null or repeat a document count once or not at all. With
-no label of one kind all scores lean to the other; with none they are 0.5.
+out. Null labels do not count, repeated equal labels of a document count once, and
+a document with both labels is not learned from. Of several texts of one id, that
+with the smallest hash is learned from. With no label of one kind all scores lean
+to the other; with none they are 0.5.
 Other columns are not read.
 """
 
@@ -85,41 +87,60 @@ class FTRL:
         self.n[at] += g * g
 
 
-def fit(rows: list[tuple[int, bytes]], bins: int = BINS, passes: int = 4, seed: int = 7) -> np.ndarray:
-    """Weights from (label, bins of the text's features as 32-bit integers)."""
-    examples = []
-    for label, raw in rows:
-        at, count = np.unique(np.frombuffer(raw, "<u4"), return_counts=True)
-        examples.append((np.append(at, bins).astype(np.int64), np.append(SCALE * count / max(1, count.sum()), 1.0), label))
+def fit(examples: list[tuple[int, np.ndarray, np.ndarray]], bins: int = BINS, passes: int = 4, seed: int = 7) -> np.ndarray:
+    """Weights from (label, distinct bins of a text's features, their counts)."""
     model, order = FTRL(bins), np.random.default_rng(seed)
     for _ in range(passes):
         for i in order.permutation(len(examples)):
-            model.learn(*examples[i])
+            label, at, count = examples[i]
+            model.learn(np.append(at, bins).astype(np.int64), np.append(SCALE * count / max(1, count.sum()), 1.0), label)
     return model.weights()
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int) -> list[tuple[int, bytes]]:
-    """Features and labels of at most ``most`` labelled documents that are not held out, in the order of their ids' hashes."""
+def counted(bins: np.ndarray) -> bytes:
+    """Distinct bins and their counts as 32-bit integers: no more than ``BINS`` pairs however long the text."""
+    at, count = np.unique(bins, return_counts=True)
+    return np.stack([at, np.minimum(count, 0xFFFFFFFF)]).astype("<u4").tobytes()
+
+
+def labelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """``doc_id, label, bins`` (see ``counted``) of at most ``most`` labelled documents that are not held out, those with the smallest hashes of their ids.
+
+    A document with both labels is left out; of the texts of one id, that with the smallest hash counts.
+    """
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = usable.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(most)
-    texts_of = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen.dropDuplicates(["doc_id"])), "doc_id")
+    one = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"), F.max("quality").cast("int").alias("high")).filter("label = high").drop("high")
+    chosen = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for some in by_bytes(batch):
                 bins, n = features(texts(some))
-                each = [x.astype("<u4").tobytes() for x in np.split(bins, np.cumsum(n)[:-1])]
-                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("label"), pa.array(each, pa.binary())], names=["doc_id", "label", "bins"])
+                each = [counted(x) for x in np.split(bins, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([some.column("doc_id"), some.column("label"), some.column("mark"), pa.array(each, pa.binary())], names=["doc_id", "label", "mark", "bins"])
+
+    rows = own.mapInArrow(run, "doc_id long, label int, mark long, bins binary")
+    return rows.groupBy("doc_id", "label").agg(F.min(F.struct("mark", "bins")).alias("r")).select("doc_id", "label", "r.bins")
+
+
+def fitted(examples: DataFrame) -> np.ndarray:
+    """Weights of the model, fitted by one task on the bounded sample ``examples``; only they reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for batch in batches for r in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "label", "bins")))]
+        rows.sort(key=lambda r: r[:2])
+        weights = fit([(label, *np.frombuffer(raw, "<u4").reshape(2, -1)) for _, label, raw in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()], pa.binary())], names=["weights"])
 
-    rows = texts_of.mapInArrow(run, "doc_id long, label int, bins binary").limit(2 * most).collect()  # ids may repeat in docs
-    return [(r.label, bytes(r.bins)) for r in sorted(rows, key=lambda r: (r.doc_id, r.label, bytes(r.bins)))]
+    got = examples.coalesce(1).mapInArrow(run, "weights binary").first()
+    return np.frombuffer(got["weights"], "<f4") if got else np.zeros(BINS + 1, "<f4")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = SAMPLE, whole: bool = False) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every row of ``docs`` (doc_id, text); with ``whole``, the row itself goes along as the struct ``row``."""
     spark = docs.sparkSession
-    weights = fit(labelled(docs, labels, most)).astype(np.float32)
-    shared = spark.sparkContext.broadcast(weights)  # BINS + 1 numbers
+    shared = spark.sparkContext.broadcast(fitted(labelled(docs, labels, most)))  # BINS + 1 numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
