@@ -7,23 +7,24 @@ corrected. The share of the best codeword against the others is the score; a
 text whose second-best codeword comes close is flagged as ambiguous.
 
 Up to seven languages get all different splits into two groups as bits; more
-get random splits. The classifiers are fitted on the driver on a bounded
-sample with as many rows of each language as there are, up to its share.
-
-Texts that are null or have no letter are ``und`` with score 0, as are all
-texts when nothing is labelled. Rows with null ``lang`` are not learned from.
-With a single language every text with a letter gets it. Null ids are
-predicted, never learned from, and not held out. Other columns are not read.
+get random splits. The classifiers are fitted by one task on a bounded sample
+with as many rows of each language as there are, up to its share; the driver
+gets the model alone.
+
+Texts that are null or have no letter (Unicode category L) are ``und`` with score
+0, as are all texts when nothing is labelled. Rows with null ``lang`` are not
+learned from. With a single language every text with a letter gets it. Null ids
+are predicted, never learned from, and not held out. Other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import by_bytes
@@ -32,17 +33,19 @@ from .quality import held_out, scored, scored_schema, with_row
 BINS = 4096
 #: Rows that the classifiers are fitted on, about; twice as many at most.
 SAMPLE = 4000
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 #: A text is ambiguous when its best language's share is not above this.
 CLEAR = 0.6
+#: Texts whose vectors are made at a time.
+ROWS = 512
 
 
 def vectors(docs: list[str | None]) -> np.ndarray:
-    """A row per text: square roots of the counts of its hashed 1-, 2- and 3-byte grams, of length one."""
+    """A row per text: square roots of the counts of its hashed 1-, 2- and 3-byte grams, of length one. Callers give ``ROWS`` texts at most."""
     out = np.zeros((len(docs), BINS), np.float32)
     group, size, first = [], 0, 0
     for i, t in enumerate([*docs, None]):
-        if i == len(docs) or size > 1 << 18:
+        if i == len(docs) or size > 1 << 18 or len(group) == ROWS // 4:
             data = np.frombuffer(b"".join(group), np.uint8).astype(np.uint32)
             if len(data) > 2:
                 row = np.repeat(np.arange(len(group), dtype=np.int64), [len(g) for g in group])[:-2] * BINS
@@ -69,19 +72,24 @@ def code(languages: int, seed: int = 11) -> np.ndarray:
         splits = range(1, 1 << max(0, languages - 1))
         return np.array([[1 if s >> i & 1 else -1 for s in splits] for i in range(languages)]).reshape(languages, -1)
     rng = np.random.default_rng(seed)
-    tries = [rng.choice([-1, 1], (languages, int(15 * np.log2(languages)))) for _ in range(50)]
-    return max(tries, key=lambda m: ((m[:, None] != m[None]).sum(axis=2) + m.shape[1] * np.eye(languages)).min())
+    tries = [rng.choice([-1, 1], (languages, int(15 * np.log2(languages)))) for _ in range(50 if languages <= 256 else 1)]
+    return tries[0] if len(tries) == 1 else max(tries, key=lambda m: ((m[:, None] != m[None]).sum(axis=2) + m.shape[1] * np.eye(languages)).min())
 
 
 def fit(x: np.ndarray, bits: np.ndarray, weight: np.ndarray, steps: int = 150, rate: float = 40.0, decay: float = 1e-5) -> np.ndarray:
-    """Logistic regressions of all bits at once by accelerated gradient steps; the last row is the intercept."""
-    x = np.hstack([x, np.full((len(x), 1), 0.1, np.float32)])
-    w = past = np.zeros((x.shape[1], bits.shape[1]), np.float32)
+    """Logistic regressions of all bits at once by accelerated gradient steps; the last row is the intercept. ``x`` are 16-bit shares of one, widened a block of rows at a time."""
+    w = past = np.zeros((x.shape[1] + 1, bits.shape[1]), np.float32)
     weight = (weight / weight.sum()).astype(np.float32)[:, None]
     for k in range(steps):
         ahead = w + k / (k + 3) * (w - past)
-        slope = -bits / (1 + np.exp(np.clip(bits * (x @ ahead), -30, 30))) * weight
-        past, w = w, ahead - rate * (x.T @ slope.astype(np.float32) + decay * ahead)
+        slope = np.zeros_like(ahead)
+        for at in range(0, len(x), ROWS):
+            own, said = x[at : at + ROWS].astype(np.float32) / np.float32(65535), bits[at : at + ROWS]
+            margin = own @ ahead[:-1] + np.float32(0.1) * ahead[-1]
+            error = (-said / (1 + np.exp(np.clip(said * margin, -30, 30))) * weight[at : at + ROWS]).astype(np.float32)
+            slope[:-1] += own.T @ error
+            slope[-1] += np.float32(0.1) * error.sum(axis=0)
+        past, w = w, ahead - np.float32(rate) * (slope + np.float32(decay) * ahead)
     return w
 
 
@@ -93,31 +101,48 @@ def decode(margins: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return order[:, 0], order[:, min(1, len(words) - 1)], 1 / share.sum(axis=1)
 
 
+LEARNED = "languages array<string>, weights binary"
+
+
 def learned(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarray] | None:
-    """Languages, their codewords and the weights of the bits; None if no row is labelled."""
-    own = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", "doc_id", "text")
-    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    if not counts:
-        return None
-    languages = sorted(counts)
-    share = most / len(languages)
+    """Languages, their codewords and the weights of the bits, fitted by one task on at most ``2 * most`` rows; None if no row is labelled."""
+    own = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    rates = counts.crossJoin(counts.agg(F.count(F.lit(1)).alias("languages"))).select("lang", (F.lit(float(most)) / F.col("languages") / F.col("rows")).alias("rate"))  # one row on the right
     place = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
-    rate = F.create_map(*[F.lit(v) for k in languages for v in (k, min(1.0, share / counts[k]))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in by_bytes(batch):
+            for some in slices(batch):
                 x = (vectors(some.column("text").to_pylist()) * 65535).astype("<u2")
                 yield pa.RecordBatch.from_arrays([some.column("lang"), some.column("doc_id"), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "doc_id", "x"])
 
-    rows = own.filter(place < rate[F.col("lang")]).mapInArrow(run, "lang string, doc_id long, x binary").limit(2 * most).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.x)))
-    x = np.frombuffer(b"".join(r.x for r in rows), "<u2").reshape(-1, BINS).astype(np.float32) / 65535
-    index = {k: i for i, k in enumerate(languages)}
-    y = np.array([index[r.lang] for r in rows], np.int64)
-    words = code(len(languages))
-    per = np.maximum(np.bincount(y, minlength=len(languages)), 1)
-    return languages, words, fit(x, words[y].astype(np.float32), 1 / per[y])
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [batch for batch in batches if batch.num_rows]
+        lang = [k for batch in held for k in batch.column("lang").to_pylist()]
+        ids = [i for batch in held for i in batch.column("doc_id").to_pylist()]
+        x = np.concatenate([np.frombuffer(b"".join(batch.column("x").to_pylist()), "<u2").reshape(-1, BINS) for batch in held] or [np.zeros((0, BINS), "<u2")])
+        languages = sorted(set(lang))
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], lang[i], x[i].tobytes())), np.int64)
+        y = np.searchsorted(languages, np.array(lang, dtype=object)[order]) if languages else np.zeros(0, np.int64)
+        per = np.maximum(np.bincount(y, minlength=len(languages)), 1)
+        w = fit(x[order], code(len(languages))[y].astype(np.float32), 1 / per[y]) if languages else np.zeros(0, np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([languages], pa.list_(pa.string())), pa.array([w.astype("<f4").tobytes()], pa.binary())], names=["languages", "weights"])
+
+    drawn = own.withColumn("place", place).join(rates, "lang").filter("place < rate").orderBy("place", "lang", F.xxhash64("text")).limit(2 * most)
+    sample = drawn.select("lang", "doc_id", "text").mapInArrow(run, "lang string, doc_id long, x binary")
+    got = sample.coalesce(1).mapInArrow(one, LEARNED).first()
+    if not got or not got["languages"]:
+        return None
+    languages = list(got["languages"])
+    return languages, code(len(languages)), np.frombuffer(got["weights"], "<f4").reshape(BINS + 1, -1)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with bounded bytes of text and at most ``ROWS`` rows, so that many short texts take no more memory than few long ones."""
+    for some in by_bytes(batch, most=1 << 20):
+        for at in range(0, some.num_rows, ROWS):
+            yield some.slice(at, ROWS)
 
 
 def identify(docs: DataFrame, most: int = SAMPLE, whole: bool = False) -> DataFrame:
@@ -126,7 +151,7 @@ def identify(docs: DataFrame, most: int = SAMPLE, whole: bool = False) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for some in by_bytes(batch, most=1 << 20):
+            for some in slices(batch):
                 text = some.column("text").to_pylist()
                 letters = np.array([bool(t and LETTER.search(t)) for t in text])
                 n = len(text)
