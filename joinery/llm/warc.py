@@ -32,22 +32,26 @@ from pyspark.sql import functions as F
 from .common import Workspace, by_bytes, open_fs
 
 MAGIC = b"\x1f\x8b\x08"
-#: Rows of one hot payload are dealt over so many keys in the join with its response.
-SALT = 32
+#: Keys that rows of small payloads, which are joined with nothing, are dealt over.
+SPREAD = 4096
 FILES = "file string, size long"
 FILES_ARROW = pa.schema([("file", pa.string()), ("size", pa.int64())])
 RECORDS = "file string, at long, record_type string, page_id long, refers_to long, target string, payload_bytes long, payload_digest string, payload binary, error string"
 RECORDS_ARROW = pa.schema([("file", pa.string()), ("at", pa.int64()), ("record_type", pa.string()), ("page_id", pa.int64()), ("refers_to", pa.int64()), ("target", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string())])
 
 
-def with_responses(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """``page_id, url, html, digest, n`` and ``response``: the page that a page's record refers to, null if it is a response itself."""
+def with_responses(pages: DataFrame, work: Workspace, least: int = 1000) -> DataFrame:
+    """``page_id, url, html, digest, n`` and ``response``: the page that a page's record refers to, null if it is a response itself.
+
+    The groups of equal payloads are a written table, so that few of them are broadcast and a hot payload's rows are split by adaptive execution.
+    """
     html = F.coalesce("html", F.lit(""))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), F.octet_length(html).cast("long").alias("n"))
-    groups = own.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and response is not null")
-    salted = groups.select("digest", "response", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int")).join(salted, ["digest", "salt"], "left")
-    return joined.withColumn("response", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response"))).drop("salt")
+    found = own.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).filter("copies > 1 and response is not null")
+    groups = work.save(found.select(F.col("digest").alias("key"), "response"), "equal-payloads")
+    no_key = F.concat(F.lit("small "), F.pmod(F.xxhash64("page_id", "url"), F.lit(SPREAD)))  # equal to no digest
+    joined = own.withColumn("key", F.when(F.col("n") >= least, F.col("digest")).otherwise(no_key)).join(groups, "key", "left")
+    return joined.withColumn("response", F.when(~F.col("response").eqNullSafe(F.col("page_id")), F.col("response"))).drop("key")
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -87,24 +91,26 @@ def write_warc(pages: DataFrame, work: Workspace, level: int = 6) -> DataFrame:
                         size += len(data)
         yield pa.RecordBatch.from_pylist([{"file": path, "size": size}], FILES_ARROW)
 
-    return work.save(with_responses(pages).select("page_id", "url", "html", "digest", "response").mapInArrow(run, FILES), "archives")
+    return work.save(with_responses(pages, work).select("page_id", "url", "html", "digest", "response").mapInArrow(run, FILES), "archives")
 
 
 class Bytes:
-    """Bytes of an open file from a place on, read in steps."""
+    """Bytes of an open file from a place on, read in steps; ``past`` of them are done with and are dropped before more are read."""
 
     def __init__(self, file, at: int, step: int = 1 << 20):
-        self.file, self.at, self.data, self.step = file, at, b"", step
+        self.file, self.at, self.data, self.step, self.past = file, at, b"", step, 0
 
     def more(self) -> bool:
+        self.data, self.at, self.past = self.data[self.past :], self.at + self.past, 0
         self.file.seek(self.at + len(self.data))
         new = self.file.read(self.step)
         self.data += new
         return bool(new)
 
-    def forget(self, to: int) -> None:
-        self.data = self.data[to - self.at :]
-        self.at = to
+    def find(self, mark: bytes, at: int) -> int:
+        """Where in the file the mark is first found from ``at`` on, or -1."""
+        found = self.data.find(mark, at - self.at)
+        return found if found < 0 else self.at + found
 
 
 def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None, str]]:
@@ -112,21 +118,22 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None, str
     view = Bytes(file, start)
     at = start
     while at < end:
-        while (found := view.data.find(MAGIC, at - view.at)) < 0:
+        while (found := view.find(MAGIC, at)) < 0:
             at = max(at, view.at + len(view.data) - len(MAGIC) + 1)
+            view.past = max(0, min(at - view.at, len(view.data)))
             if at >= end or not view.more():
                 return
-        at = view.at + found
+        at = found
         if at >= end:
             return
-        view.forget(at)
+        view.past = at - view.at
         unpack, out, used, fault = zlib.decompressobj(31), [], 0, ""
         try:
             while not unpack.eof:
-                if used == len(view.data) and not view.more():
+                if view.past + used == len(view.data) and not view.more():
                     fault = "the archive ends within the record"
                     break
-                step = view.data[used : used + (1 << 16)]
+                step = view.data[view.past + used : view.past + used + (1 << 16)]
                 out.append(unpack.decompress(step))
                 used += len(step)
                 if out and sum(map(len, out[:4])) >= 8 and not b"".join(out[:4]).startswith(b"WARC/1."):
@@ -140,7 +147,6 @@ def members(file, start: int, end: int) -> Iterator[tuple[int, bytes | None, str
             continue
         yield at, None if fault else data, fault
         at += 1 if fault else used - len(unpack.unused_data)
-        view.forget(at)
 
 
 def parsed(data: bytes) -> dict:
