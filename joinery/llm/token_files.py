@@ -65,10 +65,12 @@ def write(docs: DataFrame, tokenizer: str, work: Workspace, end_id: int = 0, nam
                 out.write(b"".join(x.tobytes() for x in part))
         yield pa.RecordBatch.from_pydict({"shard": [shard], "bin": [f"{stem}.bin"], "idx": [f"{stem}.idx"], "docs": [len(n) - 1], "ids": [int(n[-1])], "width": [enc.dtype.itemsize]}, MANIFEST_ARROW)
 
+    # the hash and a fixed random number let the rows of one id, even equal rows, go to several shards
     ordered = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .repartitionByRange(shards, "doc_id")
-        .sortWithinPartitions("doc_id", F.xxhash64("text"))
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"), F.rand(7).alias("spread"))
+        .repartitionByRange(shards, "doc_id", "mark", "spread")
+        .sortWithinPartitions("doc_id", "mark", "spread")
+        .select("doc_id", "text")
     )
     manifest = work.save(ordered.mapInArrow(run, MANIFEST), f"{name}-manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
