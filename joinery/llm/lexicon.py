@@ -294,13 +294,18 @@ def count_words(docs: DataFrame, tokenizer: str) -> DataFrame:
 def compile_lexicon(docs: DataFrame, tokenizer: str, work: Workspace, words: int = WORDS) -> str:
     """The transducer file of the most frequent words of ``docs``, at most ``words``; its path.
 
-    The least count is found from how many words have each count, so that only the chosen words reach the driver.
+    The least count is found from how many words have each count, so that only the chosen words reach the driver; of the words with that count, the first in byte order are taken.
     """
     counts = work.save(count_words(docs, tokenizer), "counts")
     classes = counts.groupBy("n").agg(F.count(F.lit(1)).alias("c"))  # no more rows than the root of twice the corpus
     upward = classes.withColumn("total", F.sum("c").over(Window.orderBy(F.desc("n"))))
-    least = upward.filter(F.col("total") <= words).agg(F.min("n").alias("n")).collect()[0]["n"]
-    frequent = [] if least is None else [bytes(r.word) for r in counts.filter(F.col("n") >= least).select("word").collect()]
+    edge = upward.filter(F.col("total") >= words).orderBy(F.desc("n")).limit(1).collect()
+    if edge:
+        least, rest = edge[0]["n"], words - (edge[0]["total"] - edge[0]["c"])
+        chosen = counts.filter(F.col("n") > least).select("word").unionAll(counts.filter(F.col("n") == least).select("word").orderBy("word").limit(rest))
+    else:
+        chosen = counts.select("word")
+    frequent = [bytes(r.word) for r in chosen.collect()]
     merges = Merges(tokenizer)
     path = f"{work.folder('lexicon')}/automaton.bin"
     put(path, Automaton.build({w: merges.ids(w) for w in frequent}))
