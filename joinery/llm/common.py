@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,13 +17,23 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def local_root(app: str) -> str:
+    """A temporary folder of a local run, removed when the driver's Python ends."""
+    root = "file://" + tempfile.mkdtemp(prefix="joinery-")
+    atexit.register(drop, root)
+    return root
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a temporary one set here where it is unset (local runs)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local run (one process) gets a temporary folder; a cluster has none that would do."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="joinery-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return local_root(spark.sparkContext.applicationId)
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
 def drop(path: str) -> None:
@@ -52,8 +63,16 @@ class Workspace:
         fs.create_dir(p, recursive=True)
         return at
 
-    def drop(self, name: str) -> None:
-        drop(f"{self.path}/{name}")
+    def drop(self, *names: str) -> None:
+        for name in names:
+            drop(f"{self.path}/{name}")
+
+    def drop_but(self, *names: str) -> None:
+        """Delete all tables and folders but those named; nothing may read them any more."""
+        fs, p = open_fs(self.path)
+        for f in fs.get_file_info(pafs.FileSelector(p)):
+            if f.base_name not in names:
+                drop(f"{self.path}/{f.base_name}")
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -80,7 +80,6 @@ def components(edges: DataFrame, work: Workspace, name: str = "components") -> D
         k += 1
         large = work.save(large_star(now, work, f"{name}-{k}-large"), f"{name}-{k}-large")
         now = work.save(small_star(large, work, f"{name}-{k}-small"), f"{name}-{k}")
-        for done in (f"{name}-{k - 1}", f"{name}-{k}-large-least", f"{name}-{k}-large", f"{name}-{k}-small-least"):
-            work.drop(done)
+        work.drop(f"{name}-{k - 1}", f"{name}-{k}-large-least", f"{name}-{k}-large", f"{name}-{k}-small-least")
     stars = now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     return stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct())

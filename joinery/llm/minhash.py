@@ -337,7 +337,9 @@ def grouped(docs: DataFrame, work: Workspace) -> DataFrame:
     by_set = reps.select("digest", "doc", "doc_id").join(by_doc, "doc", "left").select("digest", F.coalesce("first", "doc_id").alias("first"))
     # rows without a set have keys of their own, longer than digests
     keyed = sketch.select("doc_id", "mark", "n_shingles", F.coalesce("digest", F.encode(F.lpad(F.xxhash64("doc_id", "mark").cast("string"), 24, " "), "UTF-8")).alias("digest"))
-    return work.save(keyed.join(by_set, "digest", "left").drop("digest"), "rows")
+    out = work.save(keyed.join(by_set, "digest", "left").drop("digest"), "rows")
+    work.drop_but("rows")
+    return out
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
