@@ -49,4 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = work.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        work.drop_but(f"stage-{k}")
     return STAGES[-1][1](spark, docs, sf_dir)
