@@ -2,7 +2,9 @@
 
 The packed value holds the row id in its low 32 bits and the key without its
 partition bits above them. It is exact for keys under 2^37 and row ids under
-2^32; within its partition, equal upper halves mean equal keys.
+2^32; within its partition, equal upper halves mean equal keys. Packing a row
+outside that domain is an error, never a wrong value; null keys and row ids give
+nulls.
 """
 
 from __future__ import annotations
@@ -32,9 +34,24 @@ def unpacked_rid(value: Column) -> Column:
     return value.bitwiseAND((1 << KEY_SHIFT) - 1)
 
 
+def inside_domain(key: Column, rid: Column, config: JoinConfig = DEFAULT) -> Column:
+    """Whether packing is exact; null for null keys and row ids."""
+    return (key >= 0) & (key < 1 << (32 + config.network_bits)) & (rid >= 0) & (rid < 1 << KEY_SHIFT)
+
+
+def join_parts(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
+    """``pid, part, rest``: what two rows of a relation (key, rid) have in common if and only if their keys are equal. ``part`` is the upper half of the packed value; rows outside the domain take it from the key itself, and ``rest`` is what is left of the key above it."""
+    key, rid = F.col("key"), F.col("rid")
+    own = F.shiftrightunsigned(key, config.network_bits).bitwiseAND((1 << 32) - 1)
+    part = F.when(inside_domain(key, rid, config), key_part(packed(key, rid, config))).otherwise(own)
+    return relation.select(network_pid(key, config).alias("pid"), part.alias("part"), F.shiftright(key, 32 + config.network_bits).alias("rest"))
+
+
 def compress(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
-    """``pid, value`` of a relation (key, rid)."""
-    return relation.select(network_pid(F.col("key"), config).alias("pid"), packed(F.col("key"), F.col("rid"), config).alias("value"))
+    """``pid, value`` of a relation (key, rid); an error for rows outside the domain (see ``outside_domain``)."""
+    key, rid = F.col("key"), F.col("rid")
+    checked = F.when(inside_domain(key, rid, config), packed(key, rid, config)).when(key.isNotNull() & rid.isNotNull(), F.raise_error(F.lit("key or rid outside the packing domain")).cast("long"))
+    return relation.select(network_pid(key, config).alias("pid"), checked.alias("value"))
 
 
 def decompress(tuples: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
@@ -44,4 +61,4 @@ def decompress(tuples: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
 
 def outside_domain(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
     """Rows that packing would not give back."""
-    return relation.filter((F.col("key") < 0) | (F.col("key") >= 1 << (32 + config.network_bits)) | (F.col("rid") < 0) | (F.col("rid") >= 1 << KEY_SHIFT))
+    return relation.filter(~inside_domain(F.col("key"), F.col("rid"), config))

@@ -2,10 +2,10 @@
 
 ``mode`` says how: ``plain`` leaves the strategy to Catalyst and adaptive
 execution; ``merge`` and ``shuffle_hash`` force one; ``radix`` and
-``two_level`` exchange both sides by key bits and join within the partitions
-without another exchange; ``salted`` deals hot keys over slices; ``broadcast``
-copies the inner side if it is small enough to be, and is ``plain`` if not.
-All give the same rows. Null keys match nothing.
+``two_level`` exchange both sides by key bits, ``modulo`` by the key's remainder,
+and merge within the partitions without another exchange; ``salted`` deals hot
+keys over slices; ``broadcast`` copies the inner side if it is small enough to
+be, and is ``plain`` if not. All give the same rows. Null keys match nothing.
 """
 
 from __future__ import annotations
@@ -15,66 +15,91 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, JoinConfig
 from ..functions.bits import local_pid, network_pid
-from ..functions.codec import compress, key_part
-from .partition import radix_exchange
+from ..functions.codec import join_parts
+from .partition import estimated_bytes, modulo_exchange, radix_exchange, splits_for
 from .skew import salted_join
 from .statistics import dense, numbers
 
-MODES = ("plain", "merge", "shuffle_hash", "radix", "two_level", "salted", "broadcast")
+MODES = ("plain", "merge", "shuffle_hash", "radix", "two_level", "modulo", "salted", "broadcast")
+#: Partitions of the modulo mode.
+REMAINDERS = 64
 
 
-def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    """Whether a side has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def fits_broadcast(df: DataFrame, rows: int, most: int = DEFAULT.broadcast_bytes) -> bool:
+    """Whether a side has at most so many rows and bytes; reads no more than ``rows + 1`` of them."""
+    wide = [f.name for f in df.schema if f.dataType.typeName() in ("string", "binary")]
+    fixed = sum(8 if f.name in wide else 16 for f in df.schema)
+    if any(f.dataType.typeName() in ("array", "map", "struct", "variant") for f in df.schema):
+        known = estimated_bytes(df)  # nested columns are not measured
+        if known is None or known > most:
+            return False
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)).cast("long") for c in wide), F.lit(fixed).cast("long"))
+    got = df.limit(rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return got["n"] <= rows and got["bytes"] <= most
 
 
 def equi_join(inner: DataFrame, outer: DataFrame, mode: str = "plain", config: JoinConfig = DEFAULT) -> DataFrame:
     """``key`` and the other columns of ``inner`` and ``outer``, whose only common column is ``key``."""
-    if mode == "plain" or mode == "broadcast" and not fits_broadcast(inner, config.broadcast_rows):
+    if mode == "plain" or mode == "broadcast" and not fits_broadcast(inner, config.broadcast_rows, config.broadcast_bytes):
         return outer.join(inner, "key")
     if mode in ("broadcast", "merge", "shuffle_hash"):
         return outer.join(inner.hint(mode), "key")
     if mode == "salted":
-        return salted_join(inner, outer, config.slices)
-    levels = {"radix": 1, "two_level": 2}[mode]
-    places = ["task", "pid", "lpid"][: levels + 1]
-    r, s = (radix_exchange(x, config, levels) for x in (inner, outer))
-    return s.join(r.hint("shuffle_hash"), [*places, "key"]).drop(*places)
+        return salted_join(inner, outer, config)
+    sides = [x.filter("key is not null") for x in (inner, outer)]
+    if mode == "modulo":
+        splits = splits_for(REMAINDERS, config, *sides)
+        r, s = (modulo_exchange(x, REMAINDERS, splits=splits) for x in sides)
+        places = ["task", "p1"]
+    else:
+        levels = {"radix": 1, "two_level": 2}[mode]
+        places = ["task", "pid", "lpid"][: levels + 1]
+        splits = splits_for(config.network_partitions, config, *sides)
+        r, s = (radix_exchange(x, config, levels, splits=splits) for x in sides)
+    return s.join(r.hint("merge"), [*places, "key"]).drop(*places)
+
+
+def matched(inner: DataFrame, outer: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``matches`` of the keys on both sides. Both sides are counted together by key, with partial counts on the map side: one exchange, no join, a key moves once a task however often it repeats, and no pair is made."""
+    sides = inner.select(*columns, F.lit(1).alias("r"), F.lit(0).alias("s")).unionAll(outer.select(*columns, F.lit(0).alias("r"), F.lit(1).alias("s")))
+    found = sides.dropna(subset=list(columns)).groupBy(*columns).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+    return found.filter("r > 0 and s > 0").select(*columns, (F.col("r") * F.col("s")).alias("matches"))
 
 
 def matches_of(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """``key, matches`` of the keys on both sides. Each side is counted by key first, so a key moves once however often it repeats and no pair is made."""
-    r, s = (x.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias(n)) for x, n in ((inner, "r"), (outer, "s")))
-    return r.join(s, "key").select("key", (F.col("r") * F.col("s")).alias("matches"))
+    """``key, matches`` of the keys on both sides."""
+    return matched(inner, outer, "key")
+
+
+def total(matches: DataFrame) -> DataFrame:
+    return matches.agg(F.coalesce(F.sum("matches"), F.lit(0)).cast("long").alias("matches"))
 
 
 def match_count(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """``matches``: how many pairs the join has; 0 where a side is empty."""
-    return matches_of(inner, outer).agg(F.coalesce(F.sum("matches"), F.lit(0)).cast("long").alias("matches"))
+    return total(matches_of(inner, outer))
 
 
 def packed_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
-    """The same count over packed tuples, compared by partition and upper half."""
-    r, s = (compress(x, config).groupBy("pid", key_part(F.col("value")).alias("part")).agg(F.count(F.lit(1)).alias(n)) for x, n in ((inner, "r"), (outer, "s")))
-    return r.join(s, ["pid", "part"]).agg(F.coalesce(F.sum(F.col("r") * F.col("s")), F.lit(0)).cast("long").alias("matches"))
+    """The same count over packed tuples, compared by partition and upper half; rows that do not fit are compared by their whole keys."""
+    return total(matched(join_parts(inner, config), join_parts(outer, config), "pid", "part", "rest"))
 
 
-def partition_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT, mode: str = "radix") -> DataFrame:
+def partition_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
     """``pid, matches`` of every partition, 0 included."""
-    joined = equi_join(inner.select("key"), outer.select("key"), mode, config)
-    counts = joined.groupBy(network_pid(F.col("key"), config).alias("pid")).agg(F.count(F.lit(1)).alias("cnt"))
+    counts = matches_of(inner, outer).groupBy(network_pid(F.col("key"), config).alias("pid")).agg(F.sum("matches").cast("long").alias("cnt"))
     return dense(counts, numbers(inner, config.network_partitions, "pid")).withColumnRenamed("cnt", "matches")
 
 
 def two_level_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
     """``pid, lpid, matches`` of the sub-partitions that have any."""
-    joined = equi_join(inner.select("key"), outer.select("key"), "two_level", config)
-    return joined.groupBy(network_pid(F.col("key"), config).alias("pid"), local_pid(F.col("key"), config).alias("lpid")).agg(F.count(F.lit(1)).alias("matches"))
+    places = network_pid(F.col("key"), config).alias("pid"), local_pid(F.col("key"), config).alias("lpid")
+    return matches_of(inner, outer).groupBy(*places).agg(F.sum("matches").cast("long").alias("matches"))
 
 
-def first_match(inner: DataFrame, outer: DataFrame, value: str) -> DataFrame:
-    """``outer`` rows that match, each with one match: the smallest ``value`` of its key's inner rows. The inner side is reduced by key before it moves."""
-    return outer.join(inner.groupBy("key").agg(F.min(value).alias(value)), "key")
+def first_match(inner: DataFrame, outer: DataFrame, value: str, mode: str = "plain", config: JoinConfig = DEFAULT) -> DataFrame:
+    """``outer`` rows that match, each with one match: the smallest ``value`` of its key's inner rows. The inner side is reduced by key before it moves; ``mode`` as in ``equi_join``, so that ``broadcast`` probes one table without partitions."""
+    return equi_join(inner.groupBy("key").agg(F.min(value).alias(value)), outer, mode, config)
 
 
 def capped_matches(inner: DataFrame, outer: DataFrame, order: list[str], cap: int) -> DataFrame:

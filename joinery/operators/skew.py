@@ -30,18 +30,24 @@ def block_mapping(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFram
     return blocks.select("pid", "first", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("ordinal")).select((F.col("first") + F.col("ordinal")).alias("block"), "pid", "ordinal")
 
 
-def salted_join(inner: DataFrame, outer: DataFrame, slices: int) -> DataFrame:
-    """Two relations joined on ``key``, each key's outer rows dealt over ``slices`` by the hash of all their columns and its inner rows copied to every slice."""
-    dealt = outer.withColumn("slice", F.pmod(F.xxhash64(*outer.columns), F.lit(slices)).cast("int"))
-    copies = inner.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    return dealt.join(copies.hint("shuffle_hash"), ["key", "slice"]).drop("slice")
+def hot_keys(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
+    """``key, slices`` of the keys with more than ``hot_rows`` rows; no more rows than the relation has divided by that."""
+    counts = relation.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("cnt"))
+    return counts.filter(F.col("cnt") > config.hot_rows).select("key", F.expr(f"(cnt + {config.hot_rows - 1}) div {config.hot_rows}").alias("slices"))
+
+
+def salted_join(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT, hot: DataFrame | None = None) -> DataFrame:
+    """Two relations joined on ``key``. The outer rows of a hot key are dealt at random (by a fixed seed, so equal rows part as well) over the slices that its measured count needs, and only its inner rows are copied to every slice."""
+    hot = hot_keys(outer, config) if hot is None else hot
+    one = F.coalesce("slices", F.lit(1).cast("long"))
+    dealt = outer.join(hot, "key", "left").withColumn("slice", F.floor(F.rand(11) * one)).drop("slices")
+    copies = inner.join(hot, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("slices")
+    return dealt.join(copies, ["key", "slice"]).drop("slice")
 
 
 def split_join(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
-    """Partitions of few outer rows joined as they are, the skewed ones salted; nothing is left out."""
-    pid = network_pid(F.col("key"), config)
-    flags = F.broadcast(skew_flags(outer, config))  # a row per partition number
-    r, s = inner.withColumn("pid", pid).join(flags, "pid"), outer.withColumn("pid", pid).join(flags, "pid")
-    calm = s.filter("flag = 0").drop("flag", "pid").join(r.filter("flag = 0").drop("flag", "pid").hint("shuffle_hash"), "key")
-    hot = salted_join(r.filter("flag > 0").drop("flag", "pid"), s.filter("flag > 0").drop("flag", "pid"), config.slices)
-    return calm.unionByName(hot)
+    """Partitions of few outer rows joined as they are, hot keys of the skewed ones salted; nothing is left out. The rows are counted by key once, and the partitions' flags are sums of these counts."""
+    counts = outer.filter("key is not null").groupBy(network_pid(F.col("key"), config).alias("pid"), "key").agg(F.count(F.lit(1)).alias("cnt"))
+    skewed = counts.groupBy("pid").agg(F.sum("cnt").alias("rows")).filter(whole(F.col("rows"), config.skew_threshold) > 0).select("pid")  # a row per partition number
+    hot = counts.filter(F.col("cnt") > config.hot_rows).join(F.broadcast(skewed), "pid").select("key", F.expr(f"(cnt + {config.hot_rows - 1}) div {config.hot_rows}").alias("slices"))
+    return salted_join(inner, outer, config, hot)

@@ -18,7 +18,7 @@ def count_by(relation: DataFrame, **columns: Column) -> DataFrame:
     return relation.groupBy(*(c.alias(n) for n, c in columns.items())).agg(F.count(F.lit(1)).alias("cnt"))
 
 
-def exclusive_sum(value: str, partition: list[str], order: str) -> Column:
+def exclusive_sum(value: str, partition: list[str], order: str | Column) -> Column:
     window = Window.partitionBy(*partition).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long")
 
@@ -74,14 +74,17 @@ def window_sizes(local: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
 
 
 def histogram_computation(inner: DataFrame, outer: DataFrame, node: Column, config: JoinConfig = DEFAULT) -> DataFrame:
-    """Everything the exchange needs, per node and partition: owner, both counts and both write offsets."""
-    sides = []
-    for name, relation in (("inner", inner), ("outer", outer)):
-        local = local_histogram(relation, node, config)
-        total = global_histogram(local, config).withColumnRenamed("cnt", f"{name}_count")
-        sides.append(absolute_offsets(local, config).withColumnRenamed("absolute", f"{name}_offset").join(total, "pid"))
-    owner = assignment(inner, config).withColumnRenamed("node", "owner")
-    return sides[0].join(sides[1], ["node", "pid"]).join(owner, "pid")
+    """Everything the exchange needs, per node and partition: owner, both counts and both write offsets. Each side is read once; all but its counts by node and partition are windows over that small table."""
+    local = count_by(inner, node=node, pid=network_pid(F.col("key"), config)).withColumn("side", F.lit("inner"))
+    local = local.unionByName(count_by(outer, node=node, pid=network_pid(F.col("key"), config)).withColumn("side", F.lit("outer")))
+    counts = local.groupBy("node", "pid").agg(*(F.coalesce(F.sum(F.when(F.col("side") == x, F.col("cnt"))), F.lit(0)).alias(x) for x in ("inner", "outer")))
+    grid = grid_of(inner, "node", config.nodes, "pid", config.network_partitions)
+    full = grid.join(counts, ["node", "pid"], "left").fillna(0, ["inner", "outer"]).withColumn("owner", F.pmod("pid", F.lit(config.nodes)))
+    for x in ("inner", "outer"):
+        full = full.withColumn(f"{x}_count", F.sum(x).over(Window.partitionBy("pid")).cast("long")).withColumn(f"{x}_before", exclusive_sum(x, ["pid"], "node"))
+    for x in ("inner", "outer"):
+        full = full.withColumn(f"{x}_offset", exclusive_sum(f"{x}_count", ["node", "owner"], "pid") + F.col(f"{x}_before"))
+    return full.select("node", "pid", "inner_offset", "inner_count", "outer_offset", "outer_count", "owner")
 
 
 def sub_histogram(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
@@ -115,6 +118,20 @@ def tiled_histogram(relation: DataFrame, first: int, tile: Column) -> DataFrame:
     return tiles.groupBy("p1").agg(F.count(F.lit(1)).alias("tiles"), F.sum("cnt").cast("long").alias("cnt"))
 
 
+def tiled_histogram_l2(relation: DataFrame, first: int, second: int, tile: Column) -> DataFrame:
+    """The two-level histogram put together from histograms of tiles."""
+    tiles = count_by(relation, tile=tile, p1=mod_l1(F.col("key"), first), p2=mod_l2(F.col("key"), first, second))
+    return tiles.groupBy("p1", "p2").agg(F.count(F.lit(1)).alias("tiles"), F.sum("cnt").cast("long").alias("cnt"))
+
+
+def tiled_offsets(relation: DataFrame, first: int, second: int, tile: Column) -> DataFrame:
+    """``tile, p1, p2, cnt, base``: where each tile writes its rows when all are laid out by partition, and within a partition tile by tile."""
+    tiles = count_by(relation, tile=tile, p1=mod_l1(F.col("key"), first), p2=mod_l2(F.col("key"), first, second))
+    sizes = tiles.groupBy("p1", "p2").agg(F.sum("cnt").alias("size"))
+    begins = sizes.select("p1", "p2", exclusive_sum("size", [], F.struct("p1", "p2")).alias("begin"))  # a row per partition
+    return tiles.join(begins, ["p1", "p2"]).select("tile", "p1", "p2", "cnt", (F.col("begin") + exclusive_sum("cnt", ["p1", "p2"], "tile")).alias("base"))
+
+
 def partition_ranges(relation: DataFrame, count: int) -> DataFrame:
     """``pid, start, end``: the place of each partition when rows are written partition by partition."""
     counts = dense(count_by(relation, pid=mod_l1(F.col("key"), count)), numbers(relation, count, "pid"))

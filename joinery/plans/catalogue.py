@@ -7,6 +7,7 @@ that holds a row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions.codec import compress, decompress
 from ..operators import join, partition, skew, statistics
-from ..sources.relations import as_relation, distributed, load, modulo_relation, node_of, shuffled, unique_relation
-from .metrics import report, timed_run
+from ..sources.relations import as_relation, distributed, load, modulo_relation, node_of, power_law_relation, shuffled, unique_relation
+from .metrics import counters, report, store, stored, timed_phases, timed_run
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -93,8 +94,8 @@ def join_pairs_two_level(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"select key % 64 as pid, key, r_rid, s_rid from ({PAIRS})")
 def join_global_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = join.equi_join(inner_pairs(spark, sf), outer_pairs(spark, sf), "shuffle_hash")
-    return pairs.select(statistics.mod_l1(F.col("key"), 64).alias("pid"), "key", "r_rid", "s_rid")
+    pairs = join.equi_join(inner_pairs(spark, sf), outer_pairs(spark, sf), "modulo")
+    return pairs.select(statistics.mod_l1(F.col("key"), join.REMAINDERS).alias("pid"), "key", "r_rid", "s_rid")
 
 
 @query("select p_partkey as key, cast(p_size as bigint) as r_rid, l_orderkey as s_rid from part join lineitem on p_partkey = l_partkey")
@@ -120,6 +121,29 @@ def join_one_match(spark: SparkSession, sf: str) -> DataFrame:
     return join.first_match(outer_pairs(spark, sf), inner_pairs(spark, sf), "s_rid")
 
 
+@query("select l_orderkey as s_rid, p_partkey as key, min(cast(p_size as bigint)) as r_rid from part join lineitem on p_partkey = l_partkey group by l_orderkey, l_linenumber, l_suppkey, l_shipdate, l_quantity, l_extendedprice, p_partkey")
+def join_broadcast_one_match(spark: SparkSession, sf: str) -> DataFrame:
+    """No partitions: every item probes one copied table and takes at most one match."""
+    parts = as_relation(load(spark, sf, "part"), "p_partkey", "p_size").withColumnRenamed("rid", "r_rid")
+    items = as_relation(load(spark, sf, "lineitem"), "l_partkey", "l_orderkey").withColumnRenamed("rid", "s_rid")
+    return join.first_match(parts, items, "r_rid", "broadcast")
+
+
+@query(
+    """with r as (select o_orderkey as k, o_custkey as v from orders union all select o_orderkey + 137438953472, o_custkey + 4294967296 from orders),
+    s as (select l_orderkey as k from lineitem union all select l_orderkey + 274877906944 from lineitem union all select l_orderkey + 137438953472 from lineitem where l_linenumber = 1)
+    select count(*) as matches from r join s on r.k = s.k"""
+)
+def join_packed_count_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys that differ only above the 37 bits that packing keeps, and row ids above its 32."""
+    r = inner(spark, sf)
+    wide = r.select((F.col("key") + (1 << 37)).alias("key"), (F.col("rid") + (1 << 32)).alias("rid"))
+    s = outer(spark, sf)
+    first = as_relation(load(spark, sf, "lineitem").filter("l_linenumber = 1"), "l_orderkey", "l_suppkey")
+    beyond = s.select((F.col("key") + (1 << 38)).alias("key"), "rid").unionAll(first.select((F.col("key") + (1 << 37)).alias("key"), "rid"))
+    return join.packed_match_count(r.unionAll(wide), s.unionAll(beyond))
+
+
 @query(
     f"""select key, r_rid, l_partkey, l_suppkey, l_linenumber from (
         select o_orderkey as key, o_custkey as r_rid, l.*, row_number() over (partition by o_orderkey order by {", ".join(ITEM_ORDER)}) as place
@@ -198,6 +222,16 @@ def exchange_conservation(spark: SparkSession, sf: str) -> DataFrame:
     return partition.conserved(outer(spark, sf))
 
 
+@query("select l_orderkey % 16 as p1, l_orderkey // 16 % 16 as p2, count(*) as declared, count(*) as written from lineitem group by 1, 2")
+def exchange_modulo(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.modulo_conserved(outer(spark, sf), 16, 16)
+
+
+@query("select l_orderkey % 64 as p1, cast(0 as bigint) as p2, count(*) as declared, count(*) as written from lineitem group by 1")
+def exchange_modulo_global(spark: SparkSession, sf: str) -> DataFrame:
+    return partition.modulo_conserved(outer(spark, sf), 64, 1)
+
+
 @query("select l_orderkey & 31 as pid, (l_orderkey >> 5) & 31 as lpid, count(*) as cnt from lineitem group by 1, 2")
 def hist_sublevel(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.sub_histogram(outer(spark, sf))
@@ -242,6 +276,28 @@ def mod_hist_tiled(spark: SparkSession, sf: str) -> DataFrame:
     return statistics.tiled_histogram(items, 16, F.col("l_linenumber"))
 
 
+def tiled(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_linenumber").alias("tile"))
+
+
+@query("select p1, p2, count(*) as tiles, cast(sum(c) as bigint) as cnt from (select l_linenumber as tile, l_orderkey % 16 as p1, l_orderkey // 16 % 16 as p2, count(*) as c from lineitem group by 1, 2, 3) group by p1, p2")
+def mod_hist_tiled_l2(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.tiled_histogram_l2(tiled(spark, sf), 16, 16, F.col("tile"))
+
+
+@query("select p1, count(*) as tiles, cast(sum(c) as bigint) as cnt from (select l_linenumber as tile, l_orderkey % 64 as p1, count(*) as c from lineitem group by 1, 2) group by p1")
+def mod_hist_tiled_global(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.tiled_histogram(tiled(spark, sf), 64, F.col("tile"))
+
+
+@query(
+    """with t as (select l_linenumber as tile, l_orderkey % 16 as p1, l_orderkey // 16 % 16 as p2, count(*) as cnt from lineitem group by 1, 2, 3)
+    select tile, p1, p2, cnt, coalesce(cast(sum(cnt) over (order by p1, p2, tile rows between unbounded preceding and 1 preceding) as bigint), 0) as base from t"""
+)
+def tiled_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    return statistics.tiled_offsets(tiled(spark, sf), 16, 16, F.col("tile"))
+
+
 @query(
     """with c as (select p.range as pid, count(l_orderkey) as cnt from range(64) p left join lineitem on l_orderkey % 64 = p.range group by 1),
     s as (select pid, cnt, coalesce(cast(sum(cnt) over (order by pid rows between unbounded preceding and 1 preceding) as bigint), 0) as start from c)
@@ -305,7 +361,7 @@ def skew_block_mapping(spark: SparkSession, sf: str) -> DataFrame:
 @query(BY_PID)
 def join_skew_salted(spark: SparkSession, sf: str) -> DataFrame:
     outer_rows = outer(spark, sf).withColumnRenamed("rid", "s_rid")
-    joined = skew.salted_join(inner(spark, sf).select("key"), outer_rows, DEFAULT.slices)
+    joined = skew.salted_join(inner(spark, sf).select("key"), outer_rows)
     counts = joined.groupBy(F.col("key").bitwiseAND(31).alias("pid")).agg(F.count(F.lit(1)).alias("cnt"))
     return statistics.dense(counts, statistics.numbers(joined, 32, "pid")).withColumnRenamed("cnt", "matches")
 
@@ -330,6 +386,19 @@ def gen_shuffled(spark: SparkSession, sf: str) -> DataFrame:
     return shuffled(modulo_relation(spark, 10_000, 1000))
 
 
+POWER_LAW = "(select 1000 // (range % 1000 + 1) + case when range % 100 < 60 then 0 else 1000 end as key, range as rid from range(10000))"
+
+
+@query(f"select key, rid from {POWER_LAW}")
+def gen_power_law(spark: SparkSession, sf: str) -> DataFrame:
+    return power_law_relation(spark, 10_000, 1000, 60)
+
+
+@query(f"select count(*) as matches from {POWER_LAW} s join range(1, 1001) r on s.key = r.range")
+def gen_power_law_join_count(spark: SparkSession, sf: str) -> DataFrame:
+    return join.match_count(unique_relation(spark, 1000, 1), power_law_relation(spark, 10_000, 1000, 60))
+
+
 @query("select cast(4 as bigint) as nodes, cast(10000 as bigint) as n, cast(sum(range) as bigint) as total from range(10000)")
 def gen_distributed(spark: SparkSession, sf: str) -> DataFrame:
     placed = distributed(unique_relation(spark, 10_000), DEFAULT.nodes).withColumn("node", F.spark_partition_id())
@@ -346,18 +415,46 @@ def gen_modulo_join_count(spark: SparkSession, sf: str) -> DataFrame:
     return join.match_count(unique_relation(spark, 1000), modulo_relation(spark, 10_000, 1000))
 
 
-@query("select l_orderkey as key, l_suppkey as rid from lineitem where l_orderkey % 1000 = 0")
-def debug_keys(spark: SparkSession, sf: str) -> DataFrame:
-    """The rows that a look into a relation shows: those whose key a modulus divides."""
-    return outer(spark, sf).filter(F.pmod("key", F.lit(1000)) == 0)
-
-
 @query("select l_orderkey as key, l_suppkey as rid, l_orderkey % 1000 as shown from lineitem")
 def debug_all_keys(spark: SparkSession, sf: str) -> DataFrame:
     """Every row of a relation, as a look into it prints them; ``shown`` is the key by the modulus of the display."""
     return outer(spark, sf).withColumn("shown", F.col("key") % 1000)
 
 
+@query("select c_custkey as key, c_acctbal as value from customer where c_acctbal < 0")
+def debug_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """The negative entries of a buffer; to show only them is what that display is for."""
+    return load(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value")).filter("value < 0")
+
+
+COUNTERS = """
+    with r as (select o_orderkey & 31 as pid, (o_orderkey >> 5) & 31 as lpid, count(*) as n from orders group by 1, 2),
+    s as (select l_orderkey & 31 as pid, (l_orderkey >> 5) & 31 as lpid, count(*) as n from lineitem group by 1, 2),
+    c as (select (select count(*) from orders) as r, (select count(*) from lineitem) as s,
+        (select count(*) from r join s on r.pid = s.pid and r.lpid = s.lpid) as shared, (select count(*) from orders join lineitem on o_orderkey = l_orderkey) as m)
+    select unnest(['HILOCELEM', 'HOLOCELEM', 'LPTASKCOUNT', 'LPELEMENTS', 'BPTASKCOUNT', 'BPBUILDELEM', 'BPPROBEELEM', 'RESULTS']) as name,
+           unnest([r, s, 32, r + s, shared, r, s, m]) as value,
+           unnest(['tuples', 'tuples', 'tasks', 'tuples', 'tasks', 'tuples', 'tuples', 'tuples']) as unit from c"""
+
+
+@query(COUNTERS)
+def run_counters(spark: SparkSession, sf: str) -> DataFrame:
+    return counters(inner(spark, sf), outer(spark, sf))
+
+
+@query(f"select 0 as run, name, value, unit from ({COUNTERS})")
+def metrics_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters written as files of a run and read back."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir')}/metrics-{uuid.uuid4().hex}"
+    store(run_counters(spark, sf).withColumn("run", F.lit(0)), path)
+    return stored(spark, path)
+
+
+@query()
+def run_phases(spark: SparkSession, sf: str) -> DataFrame:
+    return report(timed_phases(inner(spark, sf), outer(spark, sf)).frame(spark))
+
+
 @query()
 def run_report(spark: SparkSession, sf: str) -> DataFrame:
     return report(timed_run(inner(spark, sf), outer(spark, sf)).frame(spark))

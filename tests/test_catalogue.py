@@ -20,6 +20,17 @@ def test_run_report_has_every_phase(spark, sf):
     assert got["JTOTAL"]["total"] >= got["JHIST"]["total"]
 
 
+def test_run_phases(spark, sf):
+    got = {r["name"]: r for r in QUERIES["run_phases"](spark, sf).collect()}
+    assert {"JTOTAL", "HILOCAL", "HOOFFCOMP", "MIMAINPART", "LPPART", "BPBUILD", "BPPROBE"} <= set(got)
+    assert got["JTOTAL"]["total"] >= got["BPBUILD"]["total"] and all(r["unit"] == "us" for r in got.values())
+
+
+def test_histograms_read_each_side_once(spark, sf):
+    plan = QUERIES["histogram_computation"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("FileScan") == 2
+
+
 def test_a_look_into_a_relation_leaves_no_row_out(spark, sf):
     got = QUERIES["debug_all_keys"](spark, sf)
     assert got.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()

@@ -1,11 +1,12 @@
 """Codec, integer expressions, generators, sinks and the streaming histogram."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from joinery.functions import bits, codec
 from joinery.operators.join import match_count, packed_match_count
 from joinery.plans.metrics import Phases, report, store
-from joinery.sources.relations import modulo_relation, shuffled, skewed_relation, unique_relation
+from joinery.sources.relations import coprime, modulo_relation, product_mod, shuffled, skewed_relation, unique_relation
 from joinery.streaming.histogram import stream_histogram, to_memory
 
 
@@ -18,6 +19,24 @@ def test_codec_round_trip_to_the_edge_of_its_domain(spark):
     assert codec.outside_domain(beyond).count() == 3
 
 
+def test_packing_outside_the_domain_is_an_error(spark):
+    for row in ((2**37, 0), (0, 2**32), (-1, 0), (1, -1)):
+        with pytest.raises(Exception, match="packing domain"):
+            codec.compress(spark.createDataFrame([row], "key long, rid long")).collect()
+    got = codec.compress(spark.createDataFrame([(None, 1), (1, None)], "key long, rid long")).collect()
+    assert [r["value"] for r in got] == [None, None]
+
+
+def test_products_that_a_long_cannot_hold(spark):
+    n = 5_000_000_029
+    step = coprime(n)
+    xs = [0, 1, 12345, n // 2, n - 1]
+    got = spark.createDataFrame([(x,) for x in xs], "x long").select("x", product_mod(F.col("x"), step, n).alias("p")).collect()
+    assert {r["x"]: r["p"] for r in got} == {x: x * step % n for x in xs}
+    first = unique_relation(spark, n, 7).limit(3).collect()
+    assert all(7 <= r["key"] < n + 7 for r in first)
+
+
 def test_packed_count(spark):
     r, s = unique_relation(spark, 500), modulo_relation(spark, 2000, 500)
     assert packed_match_count(r, s).first()["matches"] == match_count(r, s).first()["matches"] == 2000

@@ -49,6 +49,9 @@ def test_counts_agree(spark, case):
     assert join.match_count(r, s).first()["matches"] == want
     assert join.partition_match_count(r, s).agg(F.sum("matches")).first()[0] == want
     assert join.partition_match_count(r, s).count() == 32
+    as_rid = lambda df: df.toDF("key", "rid")
+    assert join.packed_match_count(as_rid(r), as_rid(s)).first()["matches"] == want
+    assert join.two_level_match_count(r, s).agg(F.coalesce(F.sum("matches"), F.lit(0))).first()[0] == want
 
 
 @settings(max_examples=5, deadline=None)
@@ -72,9 +75,41 @@ def test_a_side_too_large_is_not_broadcast(spark):
     assert join.equi_join(r, s, "broadcast", JoinConfig(broadcast_rows=10)).count() == 50
 
 
+def test_one_match_by_broadcast(spark):
+    r, s = sides(spark, [(1, i) for i in range(20)] + [(2, 5)], [(1, 100), (1, 100), (2, 200), (3, 300), (None, 4)])
+    got = join.first_match(r, s, "r_rid", "broadcast")
+    assert sorted((x["key"], x["s_rid"], x["r_rid"]) for x in got.collect()) == [(1, 100, 0), (1, 100, 0), (2, 200, 5)]
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_side_of_many_bytes_is_not_broadcast(spark):
+    wide = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "key long, r_rid string")
+    assert join.fits_broadcast(wide, 50) and not join.fits_broadcast(wide, 50, 40_000)
+
+
+@pytest.mark.parametrize("mode", ["radix", "two_level", "modulo"])
+def test_more_bytes_give_more_tasks_and_the_same_rows(spark, tmp_path, mode):
+    for name, size in (("r", 3000), ("s", 9000)):
+        skewed_relation(spark, size, 500, match_rate=0.8).write.parquet(str(tmp_path / name))
+    r, s = (spark.read.parquet(str(tmp_path / x)).withColumnRenamed("rid", f"{x}_rid") for x in ("r", "s"))
+    config = JoinConfig(network_bits=2, task_bytes=1000)
+    assert partition.splits_for(4, config, r, s) > 3
+    want, got = join.equi_join(r, s), join.equi_join(r, s, mode, config).select("key", "s_rid", "r_rid")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_hot_keys_are_dealt_over_slices(spark):
+    r, s = sides(spark, [(3, 1), (3, 2), (4, 2), (None, 9)], [(3, 7)] * 400 + [(4, i) for i in range(10)] + [(None, 1)] * 50)
+    config = JoinConfig(hot_rows=50, skew_threshold=100)
+    assert [tuple(x) for x in skew.hot_keys(s, config).collect()] == [(3, 8)]
+    want = join.equi_join(r, s)
+    for got in (skew.salted_join(r, s, config), skew.split_join(r, s, config)):
+        assert got.select(want.columns).exceptAll(want).isEmpty() and got.count() == want.count() == 810
+
+
 def test_radix_join_adds_no_exchange(spark):
     r, s = sides(spark, [(1, 1)], [(1, 1)])
-    for mode in ("radix", "two_level"):
+    for mode in ("radix", "two_level", "modulo"):
         plan = join.equi_join(r, s, mode)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange shufflepartitionidpassthrough") == 2 and "hashpartitioning" not in plan
 
@@ -82,7 +117,7 @@ def test_radix_join_adds_no_exchange(spark):
 def test_split_join_keeps_every_row(spark):
     inner = skewed_relation(spark, 300, 50).withColumnRenamed("rid", "r_rid")
     outer = skewed_relation(spark, 4000, 50).withColumnRenamed("rid", "s_rid")
-    config = JoinConfig(skew_threshold=200)
+    config = JoinConfig(skew_threshold=200, hot_rows=100)
     assert skew.skew_flags(outer, config).filter("flag > 0").count() > 0
     want = join.equi_join(inner, outer)
     got = skew.split_join(inner, outer, config).select(want.columns)
