@@ -36,6 +36,8 @@ SAMPLE = 4000
 LETTER = regex.compile(r"\p{L}")
 #: A text is ambiguous when its best language's share is not above this.
 CLEAR = 0.6
+#: Values of ``lang`` up to which their rates are broadcast; beyond, they are joined by shuffle.
+MOST_BROADCAST = 100_000
 #: Texts whose vectors are made at a time.
 ROWS = 512
 
@@ -108,7 +110,10 @@ def learned(docs: DataFrame, most: int) -> tuple[list[str], np.ndarray, np.ndarr
     """Languages, their codewords and the weights of the bits, fitted by one task on at most ``2 * most`` rows; None if no row is labelled."""
     own = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
     counts = own.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    rates = counts.crossJoin(counts.agg(F.count(F.lit(1)).alias("languages"))).select("lang", (F.lit(float(most)) / F.col("languages") / F.col("rows")).alias("rate"))  # one row on the right
+    languages = counts.count()
+    rates = counts.select("lang", (F.lit(most / max(1, languages)) / F.col("rows")).alias("rate"))
+    if languages <= MOST_BROADCAST:
+        rates = F.broadcast(rates)
     place = (F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1))) / float(1 << 53)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
