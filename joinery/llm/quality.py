@@ -147,9 +147,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, mo
         for batch in batches:
             for some in by_bytes(batch):
                 bins, n = features(texts(some))
-                total = np.concatenate([np.zeros(1), np.cumsum(w[bins], dtype=np.float64)])
-                ends = np.cumsum(n)
-                margin = SCALE * (total[ends] - total[ends - n]) / np.maximum(n, 1) + w[-1]
+                total = np.zeros(len(n))
+                if len(bins):  # each text is summed by itself, so that its score does not depend on its neighbours
+                    total[n > 0] = np.add.reduceat(w[bins].astype(np.float64), (np.cumsum(n) - n)[n > 0])
+                margin = SCALE * total / np.maximum(n, 1) + w[-1]
                 score = 1 / (1 + np.exp(-np.clip(margin, -35, 35)))
                 yield scored(some, {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))})
 
