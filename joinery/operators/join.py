@@ -60,15 +60,24 @@ def equi_join(inner: DataFrame, outer: DataFrame, mode: str = "plain", config: J
 
 
 def matched(inner: DataFrame, outer: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` and ``matches`` of the keys on both sides. Both sides are counted together by key, with partial counts on the map side: one exchange, no join, a key moves once a task however often it repeats, and no pair is made."""
-    sides = inner.select(*columns, F.lit(1).alias("r"), F.lit(0).alias("s")).unionAll(outer.select(*columns, F.lit(0).alias("r"), F.lit(1).alias("s")))
-    found = sides.dropna(subset=list(columns)).groupBy(*columns).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
+    """Rows of ``columns`` and ``matches``, whose sums by ``columns`` are the numbers of pairs. No pair is made.
+
+    An inner side that Catalyst would copy to every task is counted by key and looked up by every outer row. Else both
+    sides are counted together, with partial counts on the map side: one exchange, no join, and a key moves once a task
+    however often it repeats.
+    """
+    r, s = (x.select(*columns).dropna() for x in (inner, outer))
+    threshold = inner.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    if (estimated_bytes(r) or threshold + 1) <= threshold:
+        return s.join(r.groupBy(*columns).agg(F.count(F.lit(1)).alias("matches")), list(columns))
+    sides = r.withColumns({"r": F.lit(1), "s": F.lit(0)}).unionAll(s.withColumns({"r": F.lit(0), "s": F.lit(1)}))
+    found = sides.groupBy(*columns).agg(F.sum("r").alias("r"), F.sum("s").alias("s"))
     return found.filter("r > 0 and s > 0").select(*columns, (F.col("r") * F.col("s")).alias("matches"))
 
 
 def matches_of(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """``key, matches`` of the keys on both sides."""
-    return matched(inner, outer, "key")
+    return matched(inner, outer, "key").groupBy("key").agg(F.sum("matches").alias("matches"))
 
 
 def total(matches: DataFrame) -> DataFrame:
@@ -77,7 +86,7 @@ def total(matches: DataFrame) -> DataFrame:
 
 def match_count(inner: DataFrame, outer: DataFrame) -> DataFrame:
     """``matches``: how many pairs the join has; 0 where a side is empty."""
-    return total(matches_of(inner, outer))
+    return total(matched(inner, outer, "key"))
 
 
 def packed_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
@@ -87,14 +96,14 @@ def packed_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig =
 
 def partition_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
     """``pid, matches`` of every partition, 0 included."""
-    counts = matches_of(inner, outer).groupBy(network_pid(F.col("key"), config).alias("pid")).agg(F.sum("matches").cast("long").alias("cnt"))
+    counts = matched(inner, outer, "key").groupBy(network_pid(F.col("key"), config).alias("pid")).agg(F.sum("matches").cast("long").alias("cnt"))
     return dense(counts, numbers(inner, config.network_partitions, "pid")).withColumnRenamed("cnt", "matches")
 
 
 def two_level_match_count(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
     """``pid, lpid, matches`` of the sub-partitions that have any."""
     places = network_pid(F.col("key"), config).alias("pid"), local_pid(F.col("key"), config).alias("lpid")
-    return matches_of(inner, outer).groupBy(*places).agg(F.sum("matches").cast("long").alias("matches"))
+    return matched(inner, outer, "key").groupBy(*places).agg(F.sum("matches").cast("long").alias("matches"))
 
 
 def first_match(inner: DataFrame, outer: DataFrame, value: str, mode: str = "plain", config: JoinConfig = DEFAULT) -> DataFrame:

@@ -37,8 +37,10 @@ def hot_keys(relation: DataFrame, config: JoinConfig = DEFAULT) -> DataFrame:
 
 
 def salted_join(inner: DataFrame, outer: DataFrame, config: JoinConfig = DEFAULT, hot: DataFrame | None = None) -> DataFrame:
-    """Two relations joined on ``key``. The outer rows of a hot key are dealt at random (by a fixed seed, so equal rows part as well) over the slices that its measured count needs, and only its inner rows are copied to every slice."""
+    """Two relations joined on ``key``. The outer rows of a hot key are dealt at random (by a fixed seed, so equal rows part as well) over the slices that its measured count needs, and only its inner rows are copied to every slice. Without a hot key it is a plain join."""
     hot = hot_keys(outer, config) if hot is None else hot
+    if hot.isEmpty():
+        return outer.join(inner, "key")
     one = F.coalesce("slices", F.lit(1).cast("long"))
     dealt = outer.join(hot, "key", "left").withColumn("slice", F.floor(F.rand(11) * one)).drop("slices")
     copies = inner.join(hot, "key", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), one - 1))).drop("slices")

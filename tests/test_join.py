@@ -75,6 +75,22 @@ def test_a_side_too_large_is_not_broadcast(spark):
     assert join.equi_join(r, s, "broadcast", JoinConfig(broadcast_rows=10)).count() == 50
 
 
+@pytest.mark.parametrize("most", ["-1", "10m"])
+def test_counts_of_written_tables(spark, tmp_path, most):
+    for name, size in (("r", 3000), ("s", 9000)):
+        skewed_relation(spark, size, 500, match_rate=0.8).write.parquet(str(tmp_path / name))
+    r, s = (spark.read.parquet(str(tmp_path / x)) for x in ("r", "s"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    try:
+        counted = join.match_count(r, s)
+        assert ("HashJoin" in counted._jdf.queryExecution().executedPlan().toString()) == (most != "-1")
+        assert counted.first()["matches"] == join.packed_match_count(r, s).first()["matches"] == r.join(s, "key").count()
+        assert {tuple(x) for x in join.matches_of(r, s).collect()} == {tuple(x) for x in r.join(s, "key").groupBy("key").count().collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_one_match_by_broadcast(spark):
     r, s = sides(spark, [(1, i) for i in range(20)] + [(2, 5)], [(1, 100), (1, 100), (2, 200), (3, 300), (None, 4)])
     got = join.first_match(r, s, "r_rid", "broadcast")
