@@ -74,3 +74,11 @@ def test_bounds_fail_with_a_tiny_chance_only():
         true = ann.distances(index.vectors, q) ** 2
         held.append((low <= true + 1e-9) & (true <= high + 1e-9))
     assert np.mean(held) > 0.9997  # four standard deviations leave out 6e-5
+
+
+def test_rows_of_one_id_are_queries_of_their_own(spark):
+    rows = [(0, [0.0, 1.0]), (0, [5.0, 5.0]), (0, [5.0, 5.0]), (1, [1.0, 1.0]), (2, [4.0, 4.0]), (3, [0.0, 2.0]), (3, [9.0, 9.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    found = sorted((r.query_id, r.rank, r.vec_id) for r in ann.search(df, F.col("vec_id") == 0, 3).collect())
+    # from (0, 1): 1, 3 at (0, 2), 2; from (5, 5): 2, 1, then 3 at (9, 9) before (0, 2)
+    assert found == sorted([(0, 1, 1), (0, 2, 3), (0, 3, 2), (0, 1, 2), (0, 2, 1), (0, 3, 3)])

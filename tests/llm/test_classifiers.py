@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from joinery.llm import langid, quality
 
@@ -35,6 +40,67 @@ def test_quality_does_not_read_held_out_labels(larger):
     assert sorted(quality.score_quality(some, labels).collect()) == sorted(quality.score_quality(some, flipped).collect())
 
 
+def plain_quality(rows, labels, most=quality.SAMPLE):
+    """Scores by FTRL-proximal over dictionaries, a feature at a time. ``rows`` are (doc_id, text), ``labels`` doc_id -> label."""
+
+    def bins(text):
+        words = quality.WORD.findall((text or "").lower())
+        h = [int(x) for x in pd.util.hash_array(np.array(words, dtype=object), categorize=False)] if words else []
+        out = Counter(x % quality.BINS for x in h)
+        for a, b in zip(h, h[1:]):
+            p = (a * int(quality.PAIR) % 2**64) ^ b
+            out[(p ^ (p >> 29)) % quality.BINS] += 1
+        return out
+
+    def margin(counts, w):
+        total = sum(counts.values()) or 1
+        return sum(quality.SCALE * n / total * w(k) for k, n in counts.items()) + w(quality.BINS)
+
+    alpha, beta, l1, l2 = 0.2, 1.0, 0.01, 0.1
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    texts = dict(rows)
+    taught = [(bins(texts[i]), labels[i]) for i in sorted(labels) if i in texts and zlib.crc32(str(i).encode()) % 5]
+    assert len(taught) <= most
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for i in order.permutation(len(taught)):
+            counts, label = taught[i]
+            total = sum(counts.values()) or 1
+            x = {k: quality.SCALE * c / total for k, c in counts.items()} | {quality.BINS: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[k] * v for k, v in x.items())))))
+            for k, v in x.items():
+                g = (p - label) * v
+                z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha * w[k]
+                n[k] += g * g
+    return {i: 1 / (1 + math.exp(-max(-35.0, min(35.0, margin(bins(t), weight))))) for i, t in rows}
+
+
+def test_quality_equals_a_plain_version(spark, sf, documents):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    want = plain_quality([(r.doc_id, r.text) for r in documents.collect()], {r.doc_id: r.quality for r in labels.collect()})
+    got = {r.doc_id: r.score for r in quality.score_quality(documents, labels).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+
+
+def test_quality_of_contrary_and_repeated_labels(spark, larger):
+    docs, labels = larger
+    docs = docs.filter("doc_id < 150")
+    taught = labels.filter("doc_id < 150 and not crc32(cast(doc_id as string)) % 5 = 0")
+    one = taught.orderBy("doc_id").first().doc_id
+    contrary = labels.unionByName(labels.filter(f"doc_id = {one}").withColumn("quality", 1 - labels.quality))
+    score = lambda d, x: sorted(quality.score_quality(d, x).select("doc_id", "score").collect())
+    without = score(docs, labels.filter(f"doc_id <> {one}"))
+    assert score(docs, contrary) == score(docs, contrary.repartition(5)) == without
+    assert score(docs, labels.unionByName(labels)) == score(docs, labels)
+    twice = docs.unionByName(docs.withColumn("text", F.concat("text", F.lit(" more"))))
+    assert score(twice, labels) == score(twice.repartition(7), labels)
+
+
 def test_quality_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(i, i % 2 if i < 6 else None) for i in range(12)] + [(None, 1), (3, 0)], "doc_id long, quality int")
     got = quality.score_quality(odd, labels).collect()
@@ -63,6 +129,66 @@ def test_language_held_out(larger):
     assert got.score.between(0, 1).all()
 
 
+def plain_language(rows):
+    """Predictions by output codes over dense vectors, one text and one gradient at a time in double precision. ``rows`` are (doc_id, text, lang)."""
+
+    def vector(text):
+        data = b"  " + (text or "").lower().encode() + b"  "
+        out = np.zeros(langid.BINS)
+        for i in range(len(data) - 2):
+            h = data[i] * 0x9E3779B1 % 2**32
+            for more in (0, (data[i + 1] * 0x85EBCA77 % 2**32) >> 1, (data[i + 2] * 0xC2B2AE3D % 2**32) >> 2):
+                h ^= more
+                out[(h * 0x27D4EB2F % 2**32) >> 20] += 1
+        return np.sqrt(out) / max(math.sqrt(out.sum()), 1e-9)
+
+    taught = sorted((i, k, t) for i, t, k in rows if k is not None and zlib.crc32(str(i).encode()) % 5)
+    languages = sorted({k for _, k, _ in taught})
+    words = langid.code(len(languages)).astype(float)
+    x = np.array([np.append(np.floor(vector(t) * 65535) / 65535, 0.1) for *_, t in taught])
+    y = np.array([languages.index(k) for _, k, _ in taught])
+    weight = 1 / np.bincount(y)[y]
+    weight /= weight.sum()
+    columns = []
+    for bit in range(words.shape[1]):
+        w = past = np.zeros(x.shape[1])
+        said = words[y, bit]
+        for k in range(150):
+            ahead = w + k / (k + 3) * (w - past)
+            slope = x.T @ (-said / (1 + np.exp(said * (x @ ahead))) * weight) + 1e-5 * ahead
+            past, w = w, ahead - 40.0 * slope
+        columns.append(w)
+    out = {}
+    for i, t, _ in rows:
+        margins = [np.append(vector(t), 0.1) @ w for w in columns]
+        loss = [sum(math.log1p(math.exp(-m * b)) for m, b in zip(margins, word)) for word in words]
+        best = min(range(len(words)), key=lambda a: loss[a])
+        out[i] = (languages[best], 1 / sum(math.exp(loss[best] - v) for v in loss))
+    return out
+
+
+def test_language_equals_a_plain_version(documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    want = plain_language(rows)
+    for r in langid.identify(documents).collect():
+        assert r.lang_pred == want[r.doc_id][0] and abs(r.score - want[r.doc_id][1]) < 1e-3
+
+
+def test_only_letters_make_a_language(spark, documents):
+    signs = ["½ ① Ⅷ ²", "12_3 __", "٣٤ 五"[:2], "✓ → €", "\u0301\u0302"]
+    letters = ["ª", "ß", "五", "½ a"]
+    odd = spark.createDataFrame([(-i - 1, t) for i, t in enumerate(signs + letters)], "doc_id long, text string")
+    got = {r.doc_id: r for r in langid.identify(documents.unionByName(odd, allowMissingColumns=True)).collect()}
+    assert all(got[-i - 1].lang_pred == "und" and got[-i - 1].score == 0 for i in range(len(signs)))
+    assert all(got[-len(signs) - i - 1].lang_pred != "und" for i in range(len(letters)))
+
+
+def test_many_short_texts_come_in_small_slices():
+    batch = pa.RecordBatch.from_pydict({"text": ["a"] * 5000 + ["b" * 3_000_000]})
+    sizes = [x.num_rows for x in langid.slices(batch)]
+    assert max(sizes) <= langid.ROWS and sum(sizes) == 5001
+
+
 def test_language_odd_rows(odd, none, larger):
     got = langid.identify(odd.unionByName(larger[0].limit(200), allowMissingColumns=True)).collect()
     und = {r.doc_id for r in got if r.lang_pred == "und"}

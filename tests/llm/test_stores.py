@@ -130,3 +130,33 @@ def test_a_passage_shared_by_different_texts_is_stored_once():
         chunks = [{p[a:b] for a, b in zip([0, *ends], ends)} for p, ends in zip(payloads, media.cuts(payloads))]
         shared, found = shared + len(passage), found + sum(map(len, chunks[0] & chunks[1]))
     assert found > 0.3 * shared
+
+
+def test_shared_root(monkeypatch):
+    from joinery.llm import common
+
+    class Context:
+        master, applicationId = "local[2]", "app-1"
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    root = common.shared_root(Session())
+    assert root.startswith("file:///") and common.shared_root(Session()) == root
+    Context.master = "spark://host:7077"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_root(Session())
+    Session.conf = {"spark.checkpoint.dir": "hdfs://host/shared/"}
+    assert common.shared_root(Session()) == "hdfs://host/shared"
+
+
+def test_a_hot_payload_and_small_ones(spark):
+    html = "<p>" + "hot " * 400
+    rows = [(i, "u", html) for i in range(300)] + [(1000 + i, "u", "small") for i in range(300)] + [(5000, "u", html + "x"), (None, "u", html), (299, "u", html)]
+    files = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), Workspace(spark, "warc-test"))
+    got = warc.read_warc(files, 2000).collect()
+    assert len(got) == len(rows) and all(r.error is None for r in got)
+    hot = [r for r in got if r.page_id is None or r.page_id < 300]
+    assert sum(r.record_type == "response" for r in hot) == 2 and all(r.refers_to == 299 for r in hot if r.record_type == "revisit")
+    assert all(r.record_type == "response" for r in got if r.page_id and r.page_id >= 300)

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from joinery.llm import lexicon, packing, token_counts, token_files
-from joinery.llm.common import Workspace, put
+from joinery.llm.common import Workspace, mapped, put
 from joinery.llm.tokens import Encoder
 from tests.llm.conftest import ODD_TEXTS
 
@@ -168,3 +168,37 @@ def test_lexicon_query(odd, none, documents, library, tokenizer):
         got = lexicon.encode(docs, tokenizer, words=500).collect()
         assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
     assert lexicon.encode(none, tokenizer).collect() == []
+
+
+def test_rows_of_one_id_go_to_several_shards(spark, tokenizer):
+    docs = spark.createDataFrame([(7, "hot text of one id")] * 500 + [(1, "a"), (9, "z")], "doc_id long, text string").repartition(6)
+    manifest = token_files.write(docs, tokenizer, Workspace(spark, "hot-id"))
+    assert max(r.docs for r in manifest.collect()) < 400
+    got = token_files.read(manifest, 3).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [1] + [7] * 500 + [9]
+    assert all(b.start == a.start + a.n_tokens for a, b in zip(got, got[1:]))
+
+
+def test_the_class_of_the_least_count_fills_the_lexicon(spark, tokenizer):
+    docs = spark.createDataFrame([(1, "aa aa aa bb cc dd ee ff")], "doc_id long, text string")
+    path = lexicon.compile_lexicon(docs, tokenizer, Workspace(spark, "lexicon-test"), 4)
+    automaton = lexicon.Automaton(mapped(path))
+    words = [b" aa", b"aa", b" bb", b" cc", b" dd", b" ee"]
+    data = np.frombuffer(b"".join(words), np.uint8)
+    length = np.array([len(w) for w in words])
+    assert (automaton.find(data, np.cumsum(length) - length, length) >= 0).tolist() == [True, False, True, True, True, False]
+
+
+def test_words_of_every_length_and_a_table_that_fills_up(tokenizer):
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(rng.choice(list("abcé\0 ñ漢"), rng.integers(1, 40))) for _ in range(60)) for _ in range(40)]
+    whole = Tokenizer.from_file(tokenizer)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for words in (10, 1000, 1 << 20):
+        own = Encoder(tokenizer, cache_words=words)
+        for _ in range(2):
+            ids, ends = own.flat(texts, 5)
+            assert [x.tolist() for x in np.split(ids, ends[:-1])] == [[*x, 5] for x in want]
+            assert [np.frombuffer(x, own.dtype).tolist() for x in own.encode(texts)] == want
