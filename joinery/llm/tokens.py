@@ -18,22 +18,41 @@ import numpy as np
 
 from .common import ragged
 
-LETTER, NUMBER, SPACE, END = 1, 2, 3, 4
+LETTER, NUMBER, SPACE, END, UNKNOWN = 1, 2, 3, 4, 255
+
+
+#: Code points whose classes are asked for at once.
+PAGE = 256
 
 
 @functools.cache
-def char_classes() -> np.ndarray:
-    """Class of each code point (0 other), asked of the library's own regular expressions."""
+def class_table() -> np.ndarray:
+    """Class of each code point as far as texts have needed it, else ``UNKNOWN``."""
+    return np.full(0x110000, UNKNOWN, np.uint8)
+
+
+def char_classes(points: np.ndarray) -> np.ndarray:
+    """Class of each code point (0 other), asked of the library's own regular expressions a page of code points at a time, when a text first has one of them."""
+    table = class_table()
+    kind = table[points]
+    new = np.flatnonzero(kind == UNKNOWN)
+    if len(new):
+        pages = np.flatnonzero(np.bincount(points[new] // PAGE))
+        ask_classes((pages[:, None] * PAGE + np.arange(PAGE)).ravel(), table)
+        kind[new] = table[points[new]]
+    return kind
+
+
+def ask_classes(points: np.ndarray, table: np.ndarray) -> None:
     from tokenizers import Regex, pre_tokenizers
 
-    table = np.zeros(0x110000, np.uint8)
-    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
-    text = points.tobytes().decode("utf-32-le")
+    table[points] = 0
+    points = points[(points < 0xD800) | (points > 0xDFFF)]  # surrogates are in no text
+    text = points.astype("<u4").tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\s+")):
         cut = pre_tokenizers.Split(Regex(f"[^{pattern[:-1]}]+"), "removed").pre_tokenize_str(text)
         for _, (a, b) in cut:
             table[points[a:b]] = kind
-    return table
 
 
 def word_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -42,7 +61,7 @@ def word_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     The words are those of the byte-level pattern
     ``'s|'t|'re|'ve|'m|'ll|'d| ?L+| ?N+| ?O+|S+(?!not S)|S+``.
     """
-    kind = char_classes()[points]
+    kind = char_classes(points)
     kind[ends] = END
     start = np.empty(len(kind), bool)
     start[:1] = True

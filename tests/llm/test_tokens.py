@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import zlib
 
 import numpy as np
@@ -13,7 +14,7 @@ from hypothesis import strategies as st
 
 from joinery.llm import lexicon, packing, token_counts, token_files
 from joinery.llm.common import Workspace, mapped, put
-from joinery.llm.tokens import Encoder
+from joinery.llm.tokens import LETTER, NUMBER, SPACE, Encoder, char_classes, class_table
 from tests.llm.conftest import ODD_TEXTS
 
 
@@ -56,6 +57,14 @@ def test_decoding_of_ids_that_are_no_text(library, small_codec):
         assert small_codec.decode(np.array(ids)) == library.decode(ids, skip_special_tokens=False)
 
 
+@given(st.lists(st.sampled_from("aZ09 \t\n'.é½²٣あ中\u3000\u00a0\U0001d7d8\U0001f600\U0010ffff"), max_size=20))
+def test_classes_do_not_depend_on_what_was_asked_before(text):
+    class_table.cache_clear()
+    points = np.array([ord(c) for c in text], "<u4")
+    want = [{"L": LETTER, "N": NUMBER, "Z": SPACE}.get(unicodedata.category(c)[0], SPACE if c in "\t\n" else 0) for c in text]
+    assert char_classes(points[::-1]).tolist() == want[::-1] and char_classes(points).tolist() == want
+
+
 def test_long_words(library, small_codec):
     for text in ("ab" * 3000, "x" * 5000, "the" * 400 + "!" * 700):
         assert small_codec.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
